@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 200
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` doesn't have (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
+def shield(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with the columns other than ``used`` named by their place, so that none clashes with an operator's own."""
+    return docs.toDF(*(c if c in used else f"_own_{i}" for i, c in enumerate(docs.columns)))
+
+
+def unshield(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again, of a frame that came from shield(docs, *used)."""
+    return df.select(*(F.col(c if c in used else f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def shared_dir(spark: SparkSession) -> str:

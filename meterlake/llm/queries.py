@@ -33,5 +33,17 @@ def op5_pack_pow2(spark, sf_dir):
     return pack_pow2.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_trie, op5_pack_pow2)}
+def op6_line_fuzzy(spark, sf_dir):
+    from meterlake.llm import line_fuzzy
+
+    return line_fuzzy.report(table(spark, sf_dir, "documents"))
+
+
+def op10_decontam_template(spark, sf_dir):
+    from meterlake.llm import decontam_template
+
+    return decontam_template.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_trie, op5_pack_pow2, op6_line_fuzzy, op10_decontam_template)}
 ORACLE_SQL: dict[str, str] = {}

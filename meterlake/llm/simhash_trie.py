@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import components, cut, doc_keys
+from meterlake.llm.common import components, cut, doc_keys, shield, unshield
 
 SEED = 42
 
@@ -200,10 +200,11 @@ def one_of_each(docs: DataFrame, errors: int = 3, blocks: int = 6) -> DataFrame:
 
     Repeated rows of that doc_id are one document and stay once; a group without any doc_id keeps one row.
     """
-    keyed = docs.select("*", *doc_keys(docs))
+    own = shield(docs, "doc_id", "text")
+    keyed = own.select("*", *doc_keys(own))
     marked = cut(fingerprints(keyed, "_key_id", "_key_text"), "simhash")
     found = groups(marked, errors, blocks)
     kept = marked.join(found, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(F.struct("_key_id", "_key_text")).alias("k"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("_key_id", "_key_text"))).alias("named"))
     kept = kept.select(F.coalesce("named", "k").alias("k")).select("k.*")
     stays = keyed.join(kept, ["_key_id", "_key_text"], "left_semi")
-    return stays.dropDuplicates(["_key_id", "_key_text"]).select(*docs.columns)
+    return unshield(stays.dropDuplicates(["_key_id", "_key_text"]), docs, "doc_id", "text")
