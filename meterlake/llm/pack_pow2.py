@@ -12,15 +12,16 @@ the input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids one Python worker keeps; older ones are forgotten all at once. It bounds memory, not results.
-CACHE_WORDS = 300_000
+#: Pre-tokens whose ids one Python worker keeps; older ones are forgotten all at once. It bounds memory, not results.
+CACHE_WORDS = 600_000
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -29,29 +30,52 @@ def piece_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
+#: Texts of these characters alone are split here: none of them changes under NFC, and each lower-cases to one of them.
+SIMPLE = re.compile("[\x00-\u012f\u0131-\u017f]*")
+# Fixed value: the vocabulary's pre-tokenizer over lower-cased simple characters.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\\t-\\r \\x85\\xa0a-z0-9ªµºß-öø-ſ²³¹¼-¾]+")
+
+
+def byte_letters() -> list[str]:
+    """How byte-level vocabularies write each byte: itself where printable, else the next letter from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(free)) for b in range(256)]
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are those of
-    its white-space separated words in turn, and each distinct word needs encoding only once.
+    The vocabulary is applied to each pre-token on its own, so each distinct one needs that only once. Texts
+    with characters beyond SIMPLE, or with what may be a special token, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.own, self.known = Tokenizer.from_file(path), {}
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list({w for words in split for w in words})
-        if new:
-            for w, e in zip(new, self.own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.own, self.known, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+
+    def ids(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return b"".join(t.id.to_bytes(4, "little") for t in self.own.model.tokenize(piece))
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if not SIMPLE.fullmatch(text) or "<|" in text:
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = PIECES.findall(text.lower())
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            new = {w for w in pieces if w not in known}
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(pieces)
+        for w in new:
+            known[w] = self.ids(w)
+        return b"".join(map(known.__getitem__, pieces))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 4096, end_id: int = 2) -> DataFrame:
@@ -71,8 +95,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 4096, end_id: i
             ids, texts = (batch.column(k).to_pylist() for k in ("doc_id", "text"))
             for at in range(0, len(ids), 500):
                 out = [[] for _ in names]
-                for doc, body in zip(ids[at : at + 500], tokenizer.encode_all(texts[at : at + 500]), strict=True):
-                    body += end
+                for doc, text in zip(ids[at : at + 500], texts[at : at + 500], strict=True):
+                    body = tokenizer.encode(text) + end
                     n, start = len(body) // 4, 0
                     for k in piece_lengths(n, max_length):
                         for column, x in zip(out, (doc, start, k, zlib.crc32(memoryview(body)[4 * start : 4 * (start + k)]), n), strict=True):
