@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlake.llm import chat_quotes, decontam_template, edit_embed, license_align, line_fuzzy, pack_pow2, quality_cnn, secret_scan, simhash_trie, toxic_ftrl
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,34 +18,50 @@ def tokenizer_path() -> str:
 
 
 def op1_secret_scan(spark, sf_dir):
-    from meterlake.llm import secret_scan
-
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-def op3_simhash_trie(spark, sf_dir):
-    from meterlake.llm import simhash_trie
+def op2_chat_quotes(spark, sf_dir):
+    return chat_quotes.format_chat(table(spark, sf_dir, "conversations"))
 
+
+def op3_simhash_trie(spark, sf_dir):
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op5_pack_pow2(spark, sf_dir):
-    from meterlake.llm import pack_pow2
+def op4_license_align(spark, sf_dir):
+    return license_align.scan(table(spark, sf_dir, "documents"))
+
 
+def op5_pack_pow2(spark, sf_dir):
     return pack_pow2.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_line_fuzzy(spark, sf_dir):
-    from meterlake.llm import line_fuzzy
-
     return line_fuzzy.report(table(spark, sf_dir, "documents"))
 
 
-def op10_decontam_template(spark, sf_dir):
-    from meterlake.llm import decontam_template
+def op7_quality_cnn(spark, sf_dir):
+    return quality_cnn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+
+def op8_edit_embed(spark, sf_dir):
+    return edit_embed.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def op9_toxic_ftrl(spark, sf_dir):
+    return toxic_ftrl.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontam_template(spark, sf_dir):
     return decontam_template.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_trie, op5_pack_pow2, op6_line_fuzzy, op10_decontam_template)}
-ORACLE_SQL: dict[str, str] = {}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_quotes, op3_simhash_trie, op4_license_align, op5_pack_pow2, op6_line_fuzzy, op7_quality_cnn, op8_edit_embed, op9_toxic_ftrl, op10_decontam_template, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_quotes": chat_quotes.ORACLE}
