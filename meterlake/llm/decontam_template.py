@@ -40,7 +40,7 @@ GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d_]+|%)")
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»¿¡…–—"
 NUM, UNIT, NAME = (xxhash.xxh64_intdigest(x, 7) for x in ("<num>", "<unit>", "<name>"))
 #: Bits of the filter of window hashes; words whose canonical form a worker keeps.
-FILTER_BITS, CACHE_WORDS = 1 << 21, 300_000
+FILTER_BITS, CACHE_WORDS = 1 << 21, 700_000
 WINDOW = 5
 
 
@@ -51,22 +51,47 @@ class Canon:
     """
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int, int, int, int]] = {}
+        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros((3, CACHE_WORDS), np.uint64)  # at a word's number: the three hashes
+        self.traits = np.zeros((2, CACHE_WORDS), np.int8)  # its class, whether a sentence ends
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, in a table that starts anew when it is full."""
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            new = {w for w in words if w not in known}
+        if len(known) + len(new) > self.hashes.shape[1]:
+            known.clear()
+            new = set(words)
+            if len(new) > self.hashes.shape[1]:
+                self.hashes, self.traits = np.zeros((3, len(new)), np.uint64), np.zeros((2, len(new)), np.int8)
+        first = len(known)
+        facts = list(map(self.look, new))
+        known.update(zip(new, range(first, first + len(new))))
+        *hashes, kind, ends = zip(*facts, strict=True)
+        self.hashes[:, first : len(known)] = np.array(hashes, np.uint64)
+        self.traits[:, first : len(known)] = kind, ends
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def look(self, raw: bytes) -> tuple[int, int, int, int, int]:
         word = raw.decode("utf-8", "replace")
-        ends = int(word.rstrip("\"')”’»").endswith((".", "!", "?", ":", "…")))
-        core = word.strip(EDGE)
+        if word.isalpha():
+            core, ends = word, 0
+        else:
+            core, ends = word.strip(EDGE), int(word.rstrip("\"')”’»").endswith((".", "!", "?", ":", "…")))
         if "%" in word and core:
             core += "%" * word.rstrip(".,;:!?)\"'").endswith("%")
         low = core.lower()
         plain = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7)
         if not core:
             return 0, 0, 0, 5, ends
-        if NUMBER.fullmatch(core):
-            return NUM, NUM, plain, 1, ends
-        if GLUED.fullmatch(core) and GLUED.fullmatch(core)[2].lower() in UNITS:
-            return NUM, NUM, plain, 4, ends
+        if not core.isalpha():
+            if NUMBER.fullmatch(core):
+                return NUM, NUM, plain, 1, ends
+            if (glued := GLUED.fullmatch(core)) and glued[2].lower() in UNITS:
+                return NUM, NUM, plain, 4, ends
         if low in UNITS:
             return plain, plain, plain, 2, ends
         if core[0].isupper() and core[1:] == core[1:].lower():
@@ -85,17 +110,9 @@ class Canon:
         n = len(words)
         if not n:
             return {k: np.zeros(0, np.uint64) for k in sizes}, np.zeros(0, np.uint64), np.zeros(0, bool)
-        new = {w for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, set(words)
-        for w in new:
-            self.known[w] = self.look(w)
-        # one small table of the text's own words, then numbers only
-        index: dict[bytes, int] = {}
-        at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, n)
-        facts = [self.known[w] for w in index]
-        mid, first, value = (np.array([f[k] for f in facts], np.uint64)[at] for k in range(3))
-        kind, ends = (np.array([f[k] for f in facts], np.int64)[at] for k in (3, 4))
+        at = self.numbers(words)
+        mid, first, value = (x[at] for x in self.hashes)
+        kind, ends = (x[at] for x in self.traits)
         opens = np.zeros(n, bool)
         opens[start] = True
         opens[1:] |= ends[:-1] > 0
