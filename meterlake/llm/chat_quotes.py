@@ -103,7 +103,7 @@ with m as (
 ), b as (
   select *, max(case when previous is null or answered <> previous then turn end) over (partition by conv order by turn rows between unbounded preceding and current row) as branch from p
 ), o as (
-  select m.*, regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), x -> not regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)), '^\n+|\n+$', '', 'g') as own_text from m
+  select m.*, regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)), '^\n+|\n+$', '', 'g') as own_text from m
 )
 select conv_id, nullif(branch, -9223372036854775808) as branch, own_turn as turn, nullif(coalesce(answered, previous), -9223372036854775808) as parent, role,
        coalesce(n_quoted, 0)::bigint as n_quoted, coalesce(n_linked, 0)::bigint as n_linked, coalesce(max_level, 0)::bigint as max_level, own_text,
