@@ -57,11 +57,13 @@ class Cutter:
         return [self.cut("shutdown", end)] if self.pending() > 0 else []
 
 
-def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | None = None, gaps: bool = True) -> DataFrame:
+def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | None = None, gaps: bool = True, control: DataFrame | None = None) -> DataFrame:
     """Of ticks(): rows (imsi, seq, reason, start_tick, end_tick, SUMS).
 
     interval in ticks and volume in bytes, 0 for none. What is open at the end is cut as "shutdown", at end_tick or
     else at the subscriber's last tick; with gaps false a record is only looked at when its own events come.
+    control: (imsi, tick, op); a release cuts a record behind its tick's usage even if nothing is pending, an install
+    opens the subscriber anew at its tick, with seq from 0.
     """
     schema = pa.schema([("imsi", pa.int64()), ("seq", pa.int64()), ("reason", pa.string()), ("start_tick", pa.int64()), ("end_tick", pa.int64()), *((c, pa.int64()) for c in SUMS)])
 
@@ -82,10 +84,19 @@ def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | N
         imsi, own, last = None, None, None
         for b in batches:
             out = []
-            for who, tick, *sums in zip(*(b.column(c).to_pylist() for c in ("imsi", "tick", *SUMS)), strict=True):
-                if own is None or who != imsi:
+            for who, tick, op, *sums in zip(*(b.column(c).to_pylist() for c in ("imsi", "tick", "op", *SUMS)), strict=True):
+                if who != imsi:
                     out += finish(imsi, own, last)
                     imsi, own = who, Cutter(interval, volume, 0, gaps)
+                if op == "release":
+                    if own is not None:
+                        out.append((who, *own.cut("release", tick)))
+                    own = None
+                    continue
+                if own is None or op == "install":
+                    own = Cutter(interval, volume, tick if op == "install" else 0, gaps)
+                    if op == "install":
+                        continue
                 out += [(who, *r) for r in own.add(tick, sums)]
                 last = tick
             if out:
@@ -94,7 +105,12 @@ def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | N
             yield batch(out)
 
     ddl = "imsi long, seq long, reason string, start_tick long, end_tick long, " + ", ".join(f"{c} long" for c in SUMS)
-    return summed.select("imsi", "tick", *SUMS).repartition("imsi").sortWithinPartitions("imsi", "tick").mapInArrow(run, ddl)
+    rows = summed.select("imsi", "tick", F.lit("").alias("op"), *SUMS)
+    if control is not None:
+        rows = rows.unionByName(control.select("imsi", F.col("tick").cast("long").alias("tick"), "op", *(F.lit(0).cast("long").alias(c) for c in SUMS)))
+    # of one tick: an install, the usage, a release
+    order = F.when(F.col("op") == "install", 0).when(F.col("op") == "release", 2).otherwise(1)
+    return rows.repartition("imsi").sortWithinPartitions("imsi", "tick", order).mapInArrow(run, ddl)
 
 
 def with_buckets(records: DataFrame, ranked: DataFrame, start_ns: int, tick_ns: int, pkt_ticks: DataFrame) -> DataFrame:

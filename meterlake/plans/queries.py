@@ -425,3 +425,108 @@ def reject_statuses(spark, sf_dir):
     ]
     df = spark.createDataFrame([(bytes.fromhex(x),) for x in made], "pdu binary")
     return gtpu(df, "pdu").groupBy(F.col("gtpu_status").alias("status")).agg(F.count("*").alias("frames"))
+
+
+RELEASE_TICK = 300
+
+
+@query(f"""select imsi, 0::bigint as seq, case when imsi % 5 = 1 then 'release' else 'shutdown' end as reason, sum(case when direction = 'uplink' then bytes else 0 end)::bigint as ul_bytes,
+  sum(case when direction = 'downlink' then bytes else 0 end)::bigint as dl_bytes, case when imsi % 5 = 1 then {RELEASE_TICK} else max(tick) end::bigint as end_tick
+from (select *, (ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS} as tick from bound) where imsi % 5 <> 1 or tick <= {RELEASE_TICK} group by imsi
+union all select distinct user_imsi, 0, 'release', 0, 0, {RELEASE_TICK} from m where user_imsi % 5 = 1 and user_imsi not in
+  (select imsi from bound where (ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS} <= {RELEASE_TICK})""")
+def usage_record_releases(spark, sf_dir):
+    """A fifth of the subscribers is released at a tick: a last record each, even of nothing; later packets are unknown."""
+    p = plan(spark, sf_dir)
+    gone = sessions.subscribers(p.sessions).where("imsi % 5 = 1").select("imsi", F.lit(RELEASE_TICK).alias("tick"), F.lit("release").alias("op"))
+    opened = gone.withColumns({"tick": F.lit(0), "op": F.lit("install")})
+    used = records.ticks(p.slotted_events, contract.START_NS, contract.HOUR_NS).where(f"imsi % 5 <> 1 or tick <= {RELEASE_TICK}")
+    return records.cut_records(used, 0, 0, control=gone.unionByName(opened)).select("imsi", "seq", "reason", "ul_bytes", "dl_bytes", "end_tick")
+
+
+@query(record_sql(True) + "select imsi, seq, ul_bytes, dl_bytes from cut_records")
+def usage_record_deltas(spark, sf_dir):
+    """Cumulative counters at each record, taken apart again."""
+    from pyspark.sql import Window
+
+    r = plan(spark, sf_dir, CUTTING).records(contract.START_NS)
+    by = Window.partitionBy("imsi").orderBy("seq")
+    cumulative = r.select("imsi", "seq", *(F.sum(c).over(by).alias(c) for c in ("ul_bytes", "dl_bytes")))
+    return records.deltas(cumulative, "ul_bytes", "dl_bytes")
+
+
+@query("select count(distinct user_id) as subscribers_active, (select count(*) from (select distinct user_id, k % 4, pkt_no % 3 from bound)) as flows_active from m")
+def derived_gauges(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return sessions.subscribers(p.sessions).agg(F.count("*").alias("subscribers_active")).crossJoin(p.flows.agg(F.count("*").alias("flows_active")))  # one row each
+
+
+SUBS = "select user_imsi as imsi, dense_rank() over (order by user_id) - 1 as sub, ul_teid from (select distinct user_id, user_imsi, ul_teid from m)"
+
+
+@query(f"""select f.bytes, '{{"teid":' || teid || ',"sub":' || sub || ',"src":"' || src || '","dst":"93.184.216.34","src_port":' || src_port || ',"dst_port":' || dst_port || ',"proto":17,"qfi":' || coalesce(qfi, 0)
+  || ',"direction":"' || direction || '","bytes":' || f.bytes || ',"packets":' || packets || '}}' as value
+from ({FLOWS.replace("sum(bytes)::bigint as bytes", "sum(bytes)::bigint as bytes, arg_min(coalesce(qfi, 0), pkt_no) as qfi")}) f join ({SUBS}) s on s.imsi = f.imsi""")
+def flows_document(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return documents.flow_rows(p.flows, sessions.numbered(sessions.subscribers(p.sessions))).select("bytes", "value")
+
+
+@query(f""", slotted as (select imsi, slot, arg_min(bucket, first_pkt) as bucket, sum(bytes)::bigint as bytes, max(ids) > 3 as many from ranked group by imsi, slot), texts as (
+  select imsi, string_agg('{{"kind":"' || case when bucket >= 2147483648 then 'qfi' else 'rating-group' end || '","id":' || bucket % 2147483648 || ',"bytes":' || bytes || '}}', ',' order by slot) as buckets, bool_or(slot = 2 and many) as aggregated from slotted group by imsi
+) select s.imsi, '{{"imsi":"' || s.imsi || '","sub":' || sub || ',"ul_teid":' || ul_teid || ',"dl_teid":' || (ul_teid + 1) || ',"ul_bytes":' || coalesce(ul_bytes, 0) || ',"dl_bytes":' || coalesce(dl_bytes, 0) || ',"ul_packets":' || coalesce(ul_packets, 0)
+  || ',"dl_packets":' || coalesce(dl_packets, 0) || ',"gy_reported_octets":0,"gy_reports":0,"buckets":[' || buckets || '],"bucket_aggregated":' || aggregated || '}}' as value
+from ({SUBS}) s left join ({COUNTERS}) c on c.imsi = s.imsi join texts t on t.imsi = s.imsi""")
+def subscribers_document(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return documents.subscriber_rows(p.counters, sessions.numbered(sessions.subscribers(p.sessions)), metering.slots(p.buckets), p.gy_totals).select("imsi", "value")
+
+
+LINES = ("# comment", "imsi,ul_teid,dl_teid,rating_group,msisdn,apn", "310150000000001,100,200,10,15551234567,internet", " 310150000000003 , 0x1000,0x2000,5", "not-a-number,1,2,3", "310150000000005", "310150000000006,4294967296,2,3", "0,1,2,3", "7,8,9,bad")
+
+
+@query("select imsi::bigint as imsi, ul::bigint as ul_teid, dl::bigint as dl_teid, rg::bigint as rating_group, apn from (values (310150000000001, 100, 200, 10, 'internet'), (310150000000003, 4096, 8192, 5, ''), (7, 8, 9, 0, '')) t(imsi, ul, dl, rg, apn)", base=False)
+def sessions_csv(spark, sf_dir):
+    from meterlake.sources.sessions import parsed
+
+    text = spark.createDataFrame(list(enumerate(LINES)), "line_no long, value string")
+    return parsed(text).where("ok").select("imsi", "ul_teid", "dl_teid", "rating_group", "apn")
+
+
+@query("select user_id * 2 as teid, sum(28 + n)::bigint as bytes from base group by user_id having user_id >= 0 and sum(28 + n) > 0")
+def dissector_totals(spark, sf_dir):
+    """An external dissector's rows, made from the events, summed by tunnel."""
+    from meterlake.sources import dissector
+
+    n = F.least(F.lit(1400), F.round(F.col("value") * 4).cast("long"))
+    six = F.col("event_id") % 2 == 1
+    row = F.when(six, F.concat_ws("|", F.lit("eth:ip:udp:gtp:ipv6:udp"), F.concat(F.lit("0x"), F.hex(F.col("user_id") * 2)), F.lit("100"), (n - 12).cast("string")))
+    row = row.otherwise(F.concat_ws("|", F.lit("eth:ethertype:ip:udp:gtp:ip:udp:data"), (F.col("user_id") * 2).cast("string"), F.concat(F.lit("900,"), (n + 28).cast("string")), F.lit("")))
+    return dissector.teid_totals(contract.events(spark, sf_dir).select(row.alias("value")))
+
+
+@query(record_sql(True) + "select * from cut_records")
+def usage_records_stream(spark, sf_dir):
+    """The record cutter as a stream over packets in files, ended by a mark for each subscriber."""
+    import tempfile
+    import uuid
+
+    from meterlake.streaming import meter_stream
+
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    meter_stream.use_rocksdb(spark)
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    p = plan(spark, sf_dir, CUTTING)
+    p.packets.write.parquet(f"{root}/packets")
+    bindings = sessions.bindings(p.sessions)
+    zero = F.lit(0).cast("long")
+    bindings.select("imsi").distinct().select("imsi", F.lit(-1).cast("long").alias("tick"), *(zero.alias(c) for c in records.SUMS)).write.parquet(f"{root}/marks")
+    stream = spark.readStream.schema(p.packets.schema).parquet(f"{root}/packets")
+    ticks = meter_stream.usage_ticks(stream, bindings, None, contract.START_NS, CUTTING)
+    marks = spark.readStream.schema(ticks.schema).parquet(f"{root}/marks")
+    out = meter_stream.records(ticks.unionByName(marks), CUTTING)
+    try:
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if was is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.read.parquet(f"{root}/out").select("imsi", "seq", "reason", "start_tick", "end_tick", "ul_bytes", "dl_bytes")
