@@ -15,7 +15,7 @@ def reported(gy_events: DataFrame, distinct: bool = False) -> DataFrame:
     rows = gy_events.where("has_imsi and has_used")
     if distinct:
         rows = rows.groupBy("imsi", "cc_request_type", "cc_request_number", "rating_group", "used_total_octets", "is_request").agg(F.min("pkt_no").alias("pkt_no"), F.min("ts_ns").alias("ts_ns"))
-    return rows.groupBy("imsi").agg(F.sum("used_total_octets").alias("gy_reported_octets"), F.count("*").alias("gy_reports"), F.max(F.struct("pkt_no", "ts_ns"))["ts_ns"].alias("gy_last_ns"))
+    return rows.groupBy("imsi").agg(F.sum("used_total_octets").alias("gy_reported_octets"), F.count("*").alias("gy_reports"), F.max_by("ts_ns", "pkt_no").alias("gy_last_ns"))
 
 
 def crosscheck(counters: DataFrame, found: DataFrame) -> DataFrame:

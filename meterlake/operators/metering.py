@@ -19,9 +19,12 @@ def direction(binding: Column, hint: Column) -> Column:
 
 
 def usage(events: DataFrame) -> DataFrame:
-    """User packets summed by (teid, dir, has_qfi, qfi): bytes, packets, first_pkt, first (dir of it), last (pkt_no, ts_ns)."""
+    """User packets summed by (teid, dir, has_qfi, qfi): bytes, packets, and the first and last packet's number and time.
+
+    Only numbers are aggregated, so that it is done by hashing, without sorting the packets.
+    """
     return events.where("not control").groupBy("teid", "dir", "has_qfi", "qfi").agg(
-        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.min(F.struct("pkt_no", "ts_ns")).alias("first"), F.max(F.struct("pkt_no", "ts_ns")).alias("last")
+        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.min("pkt_no").alias("first_pkt"), F.min_by("ts_ns", "pkt_no").alias("first_ns"), F.max("pkt_no").alias("last_pkt"), F.max_by("ts_ns", "pkt_no").alias("last_ns")
     )
 
 
@@ -33,7 +36,7 @@ def bound(used: DataFrame, bindings: DataFrame) -> DataFrame:
 def learned(used: DataFrame, bindings: DataFrame) -> DataFrame:
     """Bindings for unknown TEIDs: (teid, imsi 0, binding_dir of the first packet, rating_group 0, first_pkt, first_ns)."""
     unknown = used.join(bindings, "teid", "left_anti")
-    first = unknown.groupBy("teid").agg(F.min_by(F.struct(F.col("dir").alias("binding_dir"), F.col("first.pkt_no").alias("first_pkt"), F.col("first.ts_ns").alias("first_ns")), "first.pkt_no").alias("f"))
+    first = unknown.groupBy("teid").agg(F.min_by(F.struct(F.col("dir").alias("binding_dir"), "first_pkt", "first_ns"), "first_pkt").alias("f"))
     zero = F.lit(0).cast("long")
     return first.select("teid", zero.alias("imsi"), "f.binding_dir", zero.alias("rating_group"), "f.first_pkt", "f.first_ns")
 
@@ -44,7 +47,7 @@ def counters(attributed: DataFrame, *key: str) -> DataFrame:
     up, down = F.col("direction") == "uplink", F.col("direction") == "downlink"
     total = lambda what, side: F.coalesce(F.sum(F.when(side, F.col(what))), F.lit(0)).alias
     return attributed.where("imsi is not null").groupBy(*key).agg(
-        total("bytes", up)("ul_bytes"), total("bytes", down)("dl_bytes"), total("packets", up)("ul_packets"), total("packets", down)("dl_packets"), F.max("last")["ts_ns"].alias("last_seen_ns")
+        total("bytes", up)("ul_bytes"), total("bytes", down)("dl_bytes"), total("packets", up)("ul_packets"), total("packets", down)("dl_packets"), F.max_by("last_ns", "last_pkt").alias("last_seen_ns")
     )
 
 
@@ -54,7 +57,7 @@ def unknown_by_teid(attributed: DataFrame) -> DataFrame:
 
 def totals(events: DataFrame, attributed: DataFrame) -> DataFrame:
     """One row: events, bytes (unknown ones included), control_pdus, and by direction, unknown, last_event_ns."""
-    a = events.agg(F.count("*").alias("events"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if("control").alias("control_pdus"), F.max(F.struct("pkt_no", "ts_ns"))["ts_ns"].alias("last_event_ns"))
+    a = events.agg(F.count("*").alias("events"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if("control").alias("control_pdus"), F.max_by("ts_ns", "pkt_no").alias("last_event_ns"))
     s = lambda what, cond: F.coalesce(F.sum(F.when(F.expr(cond), F.col(what))), F.lit(0)).alias
     b = attributed.agg(
         s("bytes", "direction = 'uplink'")("ul_bytes"), s("bytes", "direction = 'downlink'")("dl_bytes"), s("packets", "direction = 'uplink'")("ul_packets"), s("packets", "direction = 'downlink'")("dl_packets"),
@@ -71,7 +74,7 @@ def buckets(attributed: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
     """
     key = key or ("imsi",)
     bucket = F.when(F.col("has_qfi"), F.lit(QFI_TAG).bitwiseOR(F.col("qfi").cast("long"))).otherwise(F.col("rating_group"))
-    charged = attributed.where("imsi is not null").select(*key, bucket.alias("bucket"), "bytes", "packets", F.col("first.pkt_no").alias("first_pkt"), F.lit(None).cast("long").alias("first_line"))
+    charged = attributed.where("imsi is not null").select(*key, bucket.alias("bucket"), "bytes", "packets", "first_pkt", F.lit(None).cast("long").alias("first_line"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     installed = groups.select(*key, "bucket", zero.alias("bytes"), zero.alias("packets"), none.alias("first_pkt"), "first_line")
     each = charged.unionByName(installed).groupBy(*key, "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.min("first_pkt").alias("first_pkt"), F.min("first_line").alias("first_line"))
@@ -97,12 +100,13 @@ def flows(events: DataFrame, bindings: DataFrame) -> DataFrame:
     """
     user = events.where("not control").select("pkt_no", "ts_ns", "teid", "dir", "qfi", "bytes", *TUPLE)
     known = user.join(bindings.select("teid", "imsi", "binding_dir"), "teid")
-    known = known.withColumn("direction", direction(F.col("binding_dir"), F.col("dir")))
+    known = known.withColumn("down", (direction(F.col("binding_dir"), F.col("dir")) == "downlink").cast("int"))
+    first = lambda c: F.min_by(c, "pkt_no").alias(c)
     grouped = known.groupBy(*TUPLE).agg(
-        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.max(F.struct("pkt_no", "ts_ns"))["ts_ns"].alias("last_seen_ns"), F.min(F.struct("pkt_no", "teid", "imsi", "direction", "qfi")).alias("f")
+        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.max_by("ts_ns", "pkt_no").alias("last_seen_ns"), F.min("pkt_no").alias("first_pkt"), *map(first, ("teid", "imsi", "down", "qfi"))
     )
     key = F.when(F.col("ip_version").isNull(), F.lit(1).cast("long")).otherwise(flow_key(*(F.col(c) for c in TUPLE)))
-    return grouped.select(F.when(key == 0, 1).otherwise(key).alias("flow_key"), *TUPLE, F.col("f.teid").alias("teid"), F.col("f.imsi").alias("imsi"), F.col("f.direction").alias("direction"), F.col("f.qfi").alias("qfi"), "bytes", "packets", "last_seen_ns", F.col("f.pkt_no").alias("first_pkt"))
+    return grouped.select(F.when(key == 0, 1).otherwise(key).alias("flow_key"), *TUPLE, "teid", "imsi", F.when(F.col("down") == 1, "downlink").otherwise("uplink").alias("direction"), "qfi", "bytes", "packets", "last_seen_ns", "first_pkt")
 
 
 def top(df: DataFrame, n: int, *by: str) -> DataFrame:

@@ -287,7 +287,7 @@ def learned_subscribers(spark, sf_dir):
     p = plan(spark, sf_dir, Config(learn_unknown_teids=True))
     known = sessions.bindings(p.sessions)
     found = metering.learned(p.usage, known).select("teid", "first_pkt")
-    return p.attributed.join(found, "teid").groupBy("teid", "first_pkt").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
+    return p.attributed.drop("first_pkt").join(found, "teid").groupBy("teid", "first_pkt").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
 
 
 GY = f", c as ({COUNTERS}), g as (select *, imsi - {contract.IMSI_BASE} as u from c)"
