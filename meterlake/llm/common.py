@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors."""
+def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors.
+
+    What the table was made from is garbage by then, but Spark removes shuffle files only when the driver has
+    collected its own; so that disks don't fill with the shuffles of steps long past, it is asked to.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
