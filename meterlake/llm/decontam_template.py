@@ -207,6 +207,14 @@ def report(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> Data
     return rows.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("best.item_id").alias("item_id"), F.coalesce(F.col("best.coverage"), F.lit(0.0)).alias("item_coverage"))
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
+    """Rows (doc_id, item_id, windows, item_coverage, slots, consistent): each document with each item that it holds."""
+    keyed = docs.select("doc_id", *doc_keys(docs), "text")
+    found = matches(keyed, benchmark, coverage)
+    named = keyed.select("doc_id", "_key_id", "_key_text").join(found, ["_key_id", "_key_text"])
+    return named.select("doc_id", "item_id", F.col("found").alias("windows"), F.col("coverage").alias("item_coverage"), "slots", "consistent")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without contaminated documents."""
     own = shield(docs, "doc_id", "text")

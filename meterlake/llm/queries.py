@@ -54,7 +54,7 @@ def op9_toxic_ftrl(spark, sf_dir):
 
 
 def op10_decontam_template(spark, sf_dir):
-    return decontam_template.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam_template.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark, sf_dir):

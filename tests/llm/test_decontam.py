@@ -1,7 +1,7 @@
 import pyarrow.parquet as pq
 from helpers import docs, sample
 
-from meterlake.llm.decontam_template import Canon, drop_contaminated, matches, report
+from meterlake.llm.decontam_template import Canon, contaminated, drop_contaminated, matches, report
 from meterlake.llm.common import doc_keys
 
 ITEM = "Alice has 12 apples and gives 5 kg of them to Bob before Alice walks 3 miles home."
@@ -70,6 +70,7 @@ def test_edges(spark):
     got = report(docs(spark, rows), bench).collect()
     assert len(got) == len(rows) and sorted((r.doc_id or 0) for r in got if r.contaminated) == [0, 3, 3, 5]
     assert all(r.item_id == 0 for r in got if r.doc_id == 3)
+    assert sorted((r.doc_id or 0, r.item_id) for r in contaminated(docs(spark, rows), bench).collect()) == [(0, 0), (3, 0), (3, 0), (5, 4)]
     left = drop_contaminated(docs(spark, rows), bench)
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r.doc_id for r in left.collect()) == [1, 2, 6, 7]
     assert drop_contaminated(docs(spark, []), bench).count() == 0
