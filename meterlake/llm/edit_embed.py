@@ -154,7 +154,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, 2, last[1], last[0], None, None, sampled(*last[2]), None, None, None), schema, strict=True)], schema=schema)
 
     spark = docs.sparkSession
-    rows = cut(dealt.mapInArrow(run, ddl), "edit-embedding")
+    rows = cut(dealt.mapInArrow(run, ddl), "edit-embedding", "gzip")
     parts = sorted(r.part for r in rows.where("role = 1").select("part").collect())  # one a task
     following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part int, head int")
     heads = rows.where("role = 1").select(F.col("part").alias("head"), F.col("text").alias("following"), F.col("fingerprint").alias("next_fingerprint"))
