@@ -118,15 +118,22 @@ def with_buckets(records: DataFrame, ranked: DataFrame, start_ns: int, tick_ns:
 
     ranked: metering.buckets() of all packets; pkt_ticks: (imsi, bucket, first_tick) of each bucket.
     """
-    held = ranked.join(pkt_ticks, ["imsi", "bucket"], "left").groupBy("imsi").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("first_line", F.lit(2**63 - 1)).alias("line"), F.coalesce("first_pkt", F.lit(-1)).alias("pkt"), "bucket", F.coalesce("first_tick", F.lit(-1)).alias("tick")))).alias("ids"))
-    df = records.join(held, "imsi", "left").withColumn("known", F.filter("ids", lambda x: x["tick"] <= F.col("end_tick")))
     from meterlake.functions.formats import bucket_kind, bucket_number
 
+    order = F.struct(F.coalesce("first_line", F.lit(2**63 - 1)).alias("line"), F.coalesce("first_pkt", F.lit(-1)).alias("pkt"), "bucket", "slot", F.coalesce("first_tick", F.lit(0)).alias("tick"))
+    held = ranked.join(pkt_ticks, ["imsi", "bucket"], "left").groupBy("imsi").agg(F.array_sort(F.collect_list(order)).alias("ids"))  # a subscriber has as many as there are QFIs and rating groups
+    df = records.join(held, "imsi", "left")
+
+    def known(k):
+        return F.filter("ids", lambda x: (x["tick"] <= F.col("end_tick")) & (x["slot"] == k))
+
+    df = df.withColumns({f"known{k}": known(k) for k in range(3)})
+
     def slot(k):
-        b = F.get(F.col("known"), F.lit(k))["bucket"]
-        return F.struct(bucket_kind(b).alias("kind"), bucket_number(b).alias("id"), F.col(f"slot{k}").alias("bytes"), (F.lit(k == 2) & (F.size("known") > 3)).alias("aggregate"))
+        b = F.get(F.col(f"known{k}"), F.lit(0))["bucket"]
+        return F.struct(bucket_kind(b).alias("kind"), bucket_number(b).alias("id"), F.col(f"slot{k}").alias("bytes"), (F.lit(k == 2) & (F.size(f"known{k}") > 1)).alias("aggregate"))
 
-    return df.withColumn("buckets", F.filter(F.array(slot(0), slot(1), slot(2)), lambda x: x["id"].isNotNull())).drop("ids", "known")
+    return df.withColumn("buckets", F.filter(F.array(slot(0), slot(1), slot(2)), lambda x: x["id"].isNotNull())).drop("ids", "known0", "known1", "known2")
 
 
 def deltas(cumulative: DataFrame, *columns: str) -> DataFrame:

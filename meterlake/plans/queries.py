@@ -246,18 +246,34 @@ def usage_records_event(spark, sf_dir):
     return plan(spark, sf_dir, CUTTING).records(contract.START_NS, gaps=False).select("imsi", "seq", "reason", "start_tick", "end_tick", "ul_bytes", "dl_bytes")
 
 
-@query()
+AT_CUT = """, at_cut as (
+  select c.imsi, c.seq, r.slot, sum(b.bytes)::bigint as bytes from cut_records c join bucketed b on b.imsi = c.imsi
+    and (b.ts_ns - %d + %d) // %d > case when c.seq = 0 then -1 else (select p.end_tick from cut_records p where p.imsi = c.imsi and p.seq = c.seq - 1) end
+    and (b.ts_ns - %d + %d) // %d <= c.end_tick
+  join ranked r on r.imsi = b.imsi and r.bucket = b.bucket group by all
+)""" % ((contract.START_NS, contract.HOUR_NS - 1, contract.HOUR_NS) * 2)
+
+
+@query(record_sql(True) + AT_CUT + f""", packed as (
+  select c.imsi, c.seq, sum(case when direction = 'uplink' then 1 else 0 end)::bigint as up, sum(case when direction = 'downlink' then 1 else 0 end)::bigint as dp from cut_records c join bound b on b.imsi = c.imsi
+    and (b.ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS} > case when c.seq = 0 then -1 else (select p.end_tick from cut_records p where p.imsi = c.imsi and p.seq = c.seq - 1) end
+    and (b.ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS} <= c.end_tick group by all
+), seen as (
+  select r.imsi, r.bucket, r.slot, r.first_pkt, case when r.first_pkt = -1 then 0 else (select min((b.ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS}) from bucketed b where b.imsi = r.imsi and b.bucket = r.bucket) end as first_tick from ranked r
+), named as (
+  select c.imsi, c.seq, s.slot, arg_min(s.bucket, s.first_pkt) as bucket, count(*) as known from cut_records c join seen s on s.imsi = c.imsi and s.first_tick <= c.end_tick group by all
+), listed as (
+  select n.imsi, n.seq, string_agg('{{"kind":"' || case when bucket >= 2147483648 then 'qfi' else 'rating-group' end || '","id":' || bucket % 2147483648 || ',"bytes":' || coalesce(a.bytes, 0) || ',"aggregate":' || (n.slot = 2 and known > 1) || '}}', ',' order by n.slot) as buckets
+  from named n left join at_cut a on a.imsi = n.imsi and a.seq = n.seq and a.slot = n.slot group by all
+) select '{{"ts":"' || strftime(timestamp '2024-01-01' + to_hours(c.end_tick), '%Y-%m-%dT%H:%M:%S.000Z') || '","imsi":"' || c.imsi || '","sub":' || sub || ',"seq":' || c.seq || ',"reason":"' || reason || '","ul_bytes":' || ul_bytes || ',"dl_bytes":' || dl_bytes
+  || ',"ul_pkts":' || up || ',"dl_pkts":' || dp || ',"interval_ns":' || (end_tick - start_tick) * {contract.HOUR_NS} || ',"buckets":[' || buckets || ']}}' as value
+from cut_records c join packed p on p.imsi = c.imsi and p.seq = c.seq join listed l on l.imsi = c.imsi and l.seq = c.seq join (select user_imsi as imsi, dense_rank() over (order by user_id) - 1 as sub from (select distinct user_id, user_imsi from m)) s on s.imsi = c.imsi""")
 def usage_record_ndjson(spark, sf_dir):
     p = plan(spark, sf_dir, CUTTING)
     return documents.record_lines(p.records_with_buckets(contract.START_NS), sessions.numbered(sessions.subscribers(p.sessions)), contract.START_NS, contract.HOUR_NS)
 
 
-@query(record_sql(True) + """, at_cut as (
-  select c.imsi, c.seq, r.slot, sum(b.bytes)::bigint as bytes from cut_records c join bucketed b on b.imsi = c.imsi
-    and (b.ts_ns - %d + %d) // %d > case when c.seq = 0 then -1 else (select p.end_tick from cut_records p where p.imsi = c.imsi and p.seq = c.seq - 1) end
-    and (b.ts_ns - %d + %d) // %d <= c.end_tick
-  join ranked r on r.imsi = b.imsi and r.bucket = b.bucket group by all
-) select imsi, seq, slot::bigint as slot, bytes from at_cut where bytes > 0""" % ((contract.START_NS, contract.HOUR_NS - 1, contract.HOUR_NS) * 2))
+@query(record_sql(True) + AT_CUT + "select imsi, seq, slot::bigint as slot, bytes from at_cut where bytes > 0")
 def usage_record_buckets(spark, sf_dir):
     r = plan(spark, sf_dir, CUTTING).records(contract.START_NS)
     each = r.select("imsi", "seq", F.posexplode(F.array("slot0", "slot1", "slot2")).alias("slot", "bytes"))
@@ -392,7 +408,10 @@ def prometheus_series(spark, sf_dir):
     return prometheus.series(counters_row(spark, sf_dir))
 
 
-@query()
+@query("""select '{"ingest":{"frames":' || count(*) || ',"bytes":' || sum(wire_bytes) || ',"gpdus":' || count(*) filter (not control) || ',"control":' || count(*) filter (control) || ',"parse_errors":0,"events_pushed":' || count(*)
+  || ',"events_dropped":0,"diameter_messages":0},"meter":{"events":' || count(*) || ',"bytes":' || sum(bytes) || ',"ul_bytes":' || sum(bytes) filter (event_type in ('click', 'purchase')) || ',"dl_bytes":' || sum(bytes) filter (event_type = 'view')
+  || ',"ul_packets":' || count(*) filter (event_type in ('click', 'purchase')) || ',"dl_packets":' || count(*) filter (event_type = 'view') || ',"unknown_teid_events":' || count(*) filter (event_type = 'signup') || ',"unknown_teid_bytes":' || sum(bytes) filter (event_type = 'signup')
+  || ',"teid_bind_failures":0,"flows_active":0,"flow_evictions":0,"records_emitted":0,"records_dropped":0,"records_written":0,"gy_events":0},"latency_ns":{"count":0,"min":0,"p50":0,"p90":0,"p99":0,"p999":0,"p9999":0,"max":0,"mean":0}}' as value from m""")
 def stats_document(spark, sf_dir):
     return documents.stats_document(counters_row(spark, sf_dir))
 
