@@ -8,7 +8,8 @@ in an item's slots has to stand for one value in the document (a question with i
 consistent, a chance meeting of templates isn't), again at ``coverage`` of the slots.
 
 A document is read once in a Python worker; what leaves it is a row for each window that the benchmark may hold. Items
-with the same template are one class, held by its smallest item_id, so that repeated items don't multiply rows; a
+equal in template and slot values are one class, held by its smallest item_id, so that repeated items don't multiply
+rows; item_classes() tells each item's class. Windows are found once a template, the slots are checked for each class. A
 window in a third of all documents costs each document one row. No text is shuffled, and what is broadcast is the
 filter: at most 2^21 bits.
 
@@ -24,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import cut, doc_keys, shield, unshield
@@ -137,8 +138,8 @@ class Canon:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Rows (template, item_id, n, pos, size, h, slots array<long>, names array<long>), one a window of an item."""
-    schema = pa.schema([("template", pa.int64()), ("item_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
+    """Rows (template, variant, item_id, n, pos, size, h, slots array<long>), one a window of an item; variant tells slot values apart."""
+    schema = pa.schema([("template", pa.int64()), ("variant", pa.int64()), ("item_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
     def run(batches):
         canon = Canon()
@@ -148,24 +149,37 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 by, value, slot = canon.windows(text or "", (1, 2, 3, 4, 5))
                 size = min(WINDOW, len(value))
                 if size:
-                    whole = xxhash.xxh64_intdigest(by[1].tobytes(), 9)
                     held = np.where(slot, value, 0).view(np.int64)
+                    whole, variant = (x - (1 << 64 if x >> 63 else 0) for x in (xxhash.xxh64_intdigest(a.tobytes(), 9) for a in (by[1], held)))
                     for pos, h in enumerate(by[size].view(np.int64).tolist()):
-                        out.append({"template": whole - (1 << 64 if whole >> 63 else 0), "item_id": item, "n": len(by[size]), "pos": pos, "size": size, "h": h, "slots": held[pos : pos + size].tolist()})
+                        out.append({"template": whole, "variant": variant, "item_id": item, "n": len(by[size]), "pos": pos, "size": size, "h": h, "slots": held[pos : pos + size].tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return benchmark.select("item_id", "text").mapInArrow(run, "template long, item_id long, n long, pos long, size int, h long, slots array<long>")
+    return benchmark.select("item_id", "text").mapInArrow(run, "template long, variant long, item_id long, n long, pos long, size int, h long, slots array<long>")
+
+
+def _least() -> Column:
+    return F.min(F.coalesce("item_id", F.lit(2**63 - 1))).alias("class")
+
+
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """Rows (item_id, class_id) of all items with words: the item_id under which matches() reports an item."""
+    each = cut(item_windows(benchmark).where("pos = 0").select("template", "variant", "item_id"), "templates")
+    named = each.join(each.groupBy("template", "variant").agg(_least()), ["template", "variant"])
+    return named.select("item_id", F.when(F.col("class") < 2**63 - 1, F.col("class")).alias("class_id"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
     """Rows (_key_id, _key_text, item_id, found, coverage, slots, consistent) of what is contaminated; docs has the keys."""
     spark = docs.sparkSession
     items = cut(item_windows(benchmark), "templates")
-    least = items.groupBy("template").agg(F.min(F.coalesce("item_id", F.lit(2**63 - 1))).alias("class"))
-    items = cut(items.join(least, "template").where("coalesce(item_id, 9223372036854775807) = class").dropDuplicates(["template", "pos"]), "templates")
-    sizes = tuple(sorted(r.size for r in items.select("size").distinct().collect()))  # at most five numbers
+    same = ["template", "variant"]
+    items = items.join(items.groupBy(*same).agg(_least()), same).where("coalesce(item_id, 9223372036854775807) = class")
+    items = cut(items.dropDuplicates([*same, "pos"]), "templates")
+    templates = cut(items.dropDuplicates(["template", "pos"]), "templates")
+    sizes = tuple(sorted(r.size for r in templates.select("size").distinct().collect()))  # at most five numbers
     bits = np.zeros(FILTER_BITS, bool)
-    for r in items.select((F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))).alias("b")).distinct().toLocalIterator():
+    for r in templates.select((F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))).alias("b")).distinct().toLocalIterator():
         bits[r.b] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits))
     schema = pa.schema([("_key_id", pa.int64()), ("_key_text", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("held", pa.list_(pa.int64()))])
@@ -186,17 +200,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> Dat
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     probes = docs.select("_key_id", "_key_text", "text").mapInArrow(run, "_key_id long, _key_text long, at long, h long, held array<long>")
-    hits = cut(probes.join(items.select("h", "template", "item_id", "n", "pos", "slots"), "h"), "template-hits")
+    hits = cut(probes.join(templates.select("h", "template", "n", "pos", "slots"), "h"), "template-hits")
     pair = ["_key_id", "_key_text", "template"]
     enough = hits.groupBy(*pair, "n").agg(F.count_distinct("pos").alias("found")).where(F.col("found") >= F.lit(coverage) * F.col("n"))
-    # each value in the item's slots and what stands there in the document, once a place
-    met = hits.join(enough.select(*pair), pair, "left_semi").select(*pair, (F.col("at") - F.col("pos")).alias("shift"), F.explode(F.arrays_zip("slots", "held")).alias("z"))
-    met = met.where("z.slots <> 0").select(*pair, "shift", F.col("z.slots").alias("s"), F.col("z.held").alias("d"))
-    agree = met.groupBy(*pair, "shift", "s", "d").agg(F.count("*").alias("c")).groupBy(*pair, "shift", "s").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
+    # what stands in the document at each slot and in how many windows; where the slots are is the template's
+    met = hits.join(enough.select(*pair), pair, "left_semi").select(*pair, (F.col("at") - F.col("pos")).alias("shift"), "pos", F.posexplode(F.arrays_zip("slots", "held")).alias("i", "z"))
+    met = met.where("z.slots <> 0").groupBy(*pair, "shift", (F.col("pos") + F.col("i")).alias("place"), F.col("z.held").alias("d")).agg(F.count("*").alias("c"))
+    # against the values of each class of the template
+    values = items.select(*same, "pos", F.posexplode("slots").alias("i", "s")).where("s <> 0").select(*same, (F.col("pos") + F.col("i")).alias("place"), "s").distinct()
+    met, pair = met.join(values, ["template", "place"]), [*pair, "variant"]
+    agree = met.groupBy(*pair, "shift", "s", "d").agg(F.sum("c").alias("c")).groupBy(*pair, "shift", "s").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
     agree = agree.groupBy(*pair, "shift").agg(F.sum("best").alias("best"), F.sum("all").alias("all")).groupBy(*pair).agg(F.max(F.struct("all", "best")).alias("m")).select(*pair, "m.*")
-    name = items.select("template", "item_id").distinct()
-    judged = enough.join(agree, pair, "left").withColumn("consistent", F.coalesce(F.col("best") / F.col("all"), F.lit(1.0)))
-    return judged.where(F.col("consistent") >= coverage).join(name, "template").select("_key_id", "_key_text", "item_id", "found", (F.col("found") / F.col("n")).alias("coverage"), F.coalesce("all", F.lit(0)).cast("long").alias("slots"), "consistent")
+    name = items.select(*same, "item_id").distinct()
+    judged = enough.join(name, "template").join(agree, pair, "left").withColumn("consistent", F.coalesce(F.col("best") / F.col("all"), F.lit(1.0)))
+    return judged.where(F.col("consistent") >= coverage).select("_key_id", "_key_text", "item_id", "found", (F.col("found") / F.col("n")).alias("coverage"), F.coalesce("all", F.lit(0)).cast("long").alias("slots"), "consistent")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
