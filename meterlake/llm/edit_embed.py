@@ -8,7 +8,8 @@ digit (four bits of the character's hash) for each; places behind the walk's end
 by the length of the range it stands for, which estimates the share of places at which the embeddings agree.
 
 near_duplicates() puts documents that agree in a band of eight samples into a bucket, holds each against the
-bucket's smallest document and keeps what is like it enough.
+bucket's smallest document and then those still apart against each other, and keeps what is like enough. Texts too
+short for a band meet by pieces of their few samples. op8's query gives fingerprints and likeness only.
 
 edited_and_next() compares each text with an edited one and with the next document's. Rows are dealt by ranges of
 doc_id, so each task finds the next text within its own rows; only the first and the last row of each task are
@@ -186,11 +187,18 @@ def near_duplicates(marked: DataFrame, least: float = 0.8) -> DataFrame:
     """Of rows (doc_id, fingerprint): rows (doc_id, class_id), the smallest doc_id of those joined to it.
 
     Equal fingerprints are one node. In each bucket (a band of samples that agrees) every node is held against the
-    bucket's smallest, which is linear in the bucket, and linked where likeness() is ``least`` or more.
+    bucket's smallest, which is linear in the bucket, then against those that are still in another class, and linked
+    where likeness() is ``least`` or more.
     """
     nodes = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "edit-nodes")
     bands = nodes.select("node", "fingerprint", F.explode(F.sequence(F.lit(0), F.greatest(F.length("fingerprint") / BAND - 1, F.lit(0)).cast("int"))).alias("band"))
     bands = bands.select("node", "fingerprint", "band", F.substring("fingerprint", F.col("band") * BAND + 1, F.lit(BAND)).alias("key")).where("not contains(key, '.')")
+    # a text of under eight samples is like others of few samples only: they differ in fewer samples than there are pieces
+    few = int((BAND - 1) / least + 1e-9)
+    cuts = np.linspace(0, few, min(few, int((1 - least) * few + 1e-9) + 1) + 1).astype(int).tolist()
+    pieces = F.array(*(F.struct(F.lit(-1 - i).alias("band"), F.substring("fingerprint", a + 1, b - a).alias("key")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    short = nodes.where(F.substring("fingerprint", few + 1, 1).isin("", ".")).select("node", "fingerprint", F.explode(pieces).alias("p")).select("node", "fingerprint", "p.*")
+    bands = cut(bands.unionByName(short), "edit-bands")
     heads = bands.groupBy("band", "key").agg(F.min(F.struct("node", "fingerprint")).alias("head"), F.count("*").alias("n")).where("n > 1")
     pairs = bands.join(heads, ["band", "key"]).where("node <> head.node").groupBy(F.col("node").alias("u"), F.col("head.node").alias("v")).agg(F.first("fingerprint").alias("a"), F.first("head.fingerprint").alias("b"))
 
@@ -200,6 +208,13 @@ def near_duplicates(marked: DataFrame, least: float = 0.8) -> DataFrame:
             keep = [i for i in range(len(u)) if likeness(a[i], b[i]) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
 
-    roots = components(pairs.mapInArrow(like, "u long, v long"), "edit-links").withColumnRenamed("u", "node")
+    roots = components(pairs.mapInArrow(like, "u long, v long"), "edit-links")
+    # who is still apart in a bucket of three or more
+    label = nodes.select("node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rest = cut(bands.join(heads.where("n > 2").select("band", "key"), ["band", "key"]).join(label, "node"), "edit-rest")
+    other = rest.select("band", "key", F.col("node").alias("v"), F.col("fingerprint").alias("b"), F.col("root").alias("other_root"))
+    apart = rest.join(other, ["band", "key"]).where("node < v and root <> other_root").groupBy(F.col("node").alias("u"), "v").agg(F.first("fingerprint").alias("a"), F.first("b").alias("b"))
+    links = roots.select("u", F.col("root").alias("v")).unionByName(apart.mapInArrow(like, "u long, v long"))
+    roots = components(links, "edit-links").withColumnRenamed("u", "node")
     labelled = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
     return marked.join(labelled, "fingerprint").select("doc_id", "class_id")
