@@ -18,14 +18,28 @@ def direction(binding: Column, hint: Column) -> Column:
     return F.when(binding.isin("uplink", "downlink"), binding).when(hint == "downlink", "downlink").otherwise("uplink")
 
 
-def usage(events: DataFrame) -> DataFrame:
-    """User packets summed by (teid, dir, has_qfi, qfi): bytes, packets, and the first and last packet's number and time.
+SUMMED = ("teid", "dir", "has_qfi", "qfi")
 
-    Only numbers are aggregated, so that it is done by hashing, without sorting the packets.
+
+def combined(events: DataFrame, tick: Column | None = None) -> DataFrame:
+    """Events summed by (teid, dir, has_qfi, qfi, control) and, if given, by tick.
+
+    Columns: bytes, packets, and the first and last packet's number and time. Only numbers are aggregated, so that it
+    is done by hashing, without sorting the packets. Counters, buckets, records and totals all follow from it.
     """
-    return events.where("not control").groupBy("teid", "dir", "has_qfi", "qfi").agg(
-        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.min("pkt_no").alias("first_pkt"), F.min_by("ts_ns", "pkt_no").alias("first_ns"), F.max("pkt_no").alias("last_pkt"), F.max_by("ts_ns", "pkt_no").alias("last_ns")
-    )
+    key = [*SUMMED, "control", *([tick.alias("tick")] if tick is not None else [])]
+    return events.groupBy(*key).agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.min("pkt_no").alias("first_pkt"),
+        F.min_by("ts_ns", "pkt_no").alias("first_ns"), F.max("pkt_no").alias("last_pkt"), F.max_by("ts_ns", "pkt_no").alias("last_ns"),
+    )
+
+
+def usage(grid: DataFrame) -> DataFrame:
+    """Of combined(): user packets by (teid, dir, has_qfi, qfi), whatever the ticks."""
+    return grid.where("not control").groupBy(*SUMMED).agg(
+        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.min("first_pkt").alias("first_pkt"),
+        F.min_by("first_ns", "first_pkt").alias("first_ns"), F.max("last_pkt").alias("last_pkt"), F.max_by("last_ns", "last_pkt").alias("last_ns"),
+    )
 
 
 def bound(used: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -34,11 +48,19 @@ def bound(used: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def learned(used: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Bindings for unknown TEIDs: (teid, imsi 0, binding_dir of the first packet, rating_group 0, first_pkt, first_ns)."""
+    """Bindings for unknown TEIDs: (teid, imsi, binding_dir of the first packet, rating_group 0, first_pkt, first_ns).
+
+    Each is a subscriber of its own. It has no IMSI; the negative of its TEID stands in for one, so that no two of
+    them share a key, and reports show 0 (see shown()).
+    """
     unknown = used.join(bindings, "teid", "left_anti")
     first = unknown.groupBy("teid").agg(F.min_by(F.struct(F.col("dir").alias("binding_dir"), "first_pkt", "first_ns"), "first_pkt").alias("f"))
-    zero = F.lit(0).cast("long")
-    return first.select("teid", zero.alias("imsi"), "f.binding_dir", zero.alias("rating_group"), "f.first_pkt", "f.first_ns")
+    return first.select("teid", (-F.col("teid")).alias("imsi"), "f.binding_dir", F.lit(0).cast("long").alias("rating_group"), "f.first_pkt", "f.first_ns")
+
+
+def shown(imsi: Column) -> Column:
+    """The IMSI as reports show it: 0 for a learned subscriber."""
+    return F.greatest(imsi, F.lit(0).cast("long"))
 
 
 def counters(attributed: DataFrame, *key: str) -> DataFrame:
@@ -55,9 +77,13 @@ def unknown_by_teid(attributed: DataFrame) -> DataFrame:
     return attributed.where("imsi is null").groupBy("teid").agg(F.sum("packets").alias("events"), F.sum("bytes").alias("bytes"))
 
 
-def totals(events: DataFrame, attributed: DataFrame) -> DataFrame:
-    """One row: events, bytes (unknown ones included), control_pdus, and by direction, unknown, last_event_ns."""
-    a = events.agg(F.count("*").alias("events"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if("control").alias("control_pdus"), F.max_by("ts_ns", "pkt_no").alias("last_event_ns"))
+def totals(grid: DataFrame, attributed: DataFrame) -> DataFrame:
+    """One row: events, bytes (unknown ones included), control_pdus, and by direction, unknown, last_event_ns. grid: combined()."""
+    zero = F.lit(0).cast("long")
+    a = grid.agg(
+        F.coalesce(F.sum("packets"), zero).alias("events"), F.coalesce(F.sum("bytes"), zero).alias("bytes"),
+        F.coalesce(F.sum(F.when(F.col("control"), F.col("packets"))), zero).alias("control_pdus"), F.max_by("last_ns", "last_pkt").alias("last_event_ns"),
+    )
     s = lambda what, cond: F.coalesce(F.sum(F.when(F.expr(cond), F.col(what))), F.lit(0)).alias
     b = attributed.agg(
         s("bytes", "direction = 'uplink'")("ul_bytes"), s("bytes", "direction = 'downlink'")("dl_bytes"), s("packets", "direction = 'uplink'")("ul_packets"), s("packets", "direction = 'downlink'")("dl_packets"),
@@ -66,6 +92,11 @@ def totals(events: DataFrame, attributed: DataFrame) -> DataFrame:
     return a.crossJoin(b)  # one row each
 
 
+def bucket() -> Column:
+    """The accounting bucket of a row with has_qfi, qfi and rating_group."""
+    return F.when(F.col("has_qfi"), F.lit(QFI_TAG).bitwiseOR(F.col("qfi").cast("long"))).otherwise(F.col("rating_group"))
+
+
 def buckets(attributed: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
     """Per subscriber the accounting buckets in first-come order: (key, bucket, slot, bytes, packets, first_pkt, ids).
 
@@ -73,8 +104,7 @@ def buckets(attributed: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
     where nothing was charged to them. The third and later share slot 2; ids counts the subscriber's buckets.
     """
     key = key or ("imsi",)
-    bucket = F.when(F.col("has_qfi"), F.lit(QFI_TAG).bitwiseOR(F.col("qfi").cast("long"))).otherwise(F.col("rating_group"))
-    charged = attributed.where("imsi is not null").select(*key, bucket.alias("bucket"), "bytes", "packets", "first_pkt", F.lit(None).cast("long").alias("first_line"))
+    charged = attributed.where("imsi is not null").select(*key, bucket().alias("bucket"), "bytes", "packets", "first_pkt", F.lit(None).cast("long").alias("first_line"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     installed = groups.select(*key, "bucket", zero.alias("bytes"), zero.alias("packets"), none.alias("first_pkt"), "first_line")
     each = charged.unionByName(installed).groupBy(*key, "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.min("first_pkt").alias("first_pkt"), F.min("first_line").alias("first_line"))
@@ -95,16 +125,20 @@ TUPLE = ("src_ip", "dst_ip", "src_port", "dst_port", "proto", "ip_version")
 def flows(events: DataFrame, bindings: DataFrame) -> DataFrame:
     """User packets of bound tunnels by inner 5-tuple: bytes, packets, last ts, and the first packet's attributes.
 
-    Packets without an inner IP header share the flow with key 1. Nothing is evicted. Grouped by the tuple itself;
-    the key is computed once a flow.
+    Packets without an inner IP header share the flow with key 1. Nothing is evicted. Packets are summed by tuple and
+    tunnel before they meet the bindings; the key is computed once a flow.
     """
-    user = events.where("not control").select("pkt_no", "ts_ns", "teid", "dir", "qfi", "bytes", *TUPLE)
+    user = events.where("not control").groupBy(*TUPLE, "teid", "dir").agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.max("pkt_no").alias("last_pkt"), F.max_by("ts_ns", "pkt_no").alias("last_ns"),
+        F.min("pkt_no").alias("first_pkt"), F.min_by("qfi", "pkt_no").alias("qfi"),
+    )
     known = user.join(bindings.select("teid", "imsi", "binding_dir"), "teid")
     known = known.withColumn("down", (direction(F.col("binding_dir"), F.col("dir")) == "downlink").cast("int"))
-    first = lambda c: F.min_by(c, "pkt_no").alias(c)
+    first = lambda c: F.min_by(c, "first_pkt").alias(c)
     grouped = known.groupBy(*TUPLE).agg(
-        F.sum("bytes").alias("bytes"), F.count("*").alias("packets"), F.max_by("ts_ns", "pkt_no").alias("last_seen_ns"), F.min("pkt_no").alias("first_pkt"), *map(first, ("teid", "imsi", "down", "qfi"))
-    )
+        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.max_by("last_ns", "last_pkt").alias("last_seen_ns"),
+        *map(first, ("teid", "imsi", "down", "qfi")), F.min("first_pkt").alias("first_pkt"),
+    )
     key = F.when(F.col("ip_version").isNull(), F.lit(1).cast("long")).otherwise(flow_key(*(F.col(c) for c in TUPLE)))
     return grouped.select(F.when(key == 0, 1).otherwise(key).alias("flow_key"), *TUPLE, "teid", "imsi", F.when(F.col("down") == 1, "downlink").otherwise("uplink").alias("direction"), "qfi", "bytes", "packets", "last_seen_ns", "first_pkt")
 

@@ -9,20 +9,25 @@ one pass with a few numbers of state, whatever the subscriber's size.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMS = ("ul_bytes", "dl_bytes", "ul_packets", "dl_packets", "slot0", "slot1", "slot2")
 
 
-def ticks(attributed: DataFrame, start_ns: int, tick_ns: int) -> DataFrame:
-    """Events with (imsi, ts_ns, direction, slot, bytes) summed by (imsi, tick): SUMS."""
-    tick = F.call_function("div", F.col("ts_ns") - F.lit(start_ns) + F.lit(tick_ns - 1), F.lit(tick_ns))
-    side = lambda d, what: F.sum(F.when(F.col("direction") == d, what).otherwise(F.lit(0))).cast("long")
+def tick_of(start_ns: int, tick_ns: int) -> Column:
+    """The first tick at or after ts_ns."""
+    return F.call_function("div", F.col("ts_ns") - F.lit(start_ns) + F.lit(tick_ns - 1), F.lit(tick_ns))
+
+
+def ticks(attributed: DataFrame) -> DataFrame:
+    """Of usage with (imsi, tick, direction, slot, bytes, packets): SUMS by (imsi, tick)."""
+    side = lambda d, what: F.sum(F.when(F.col("direction") == d, F.col(what)).otherwise(F.lit(0))).cast("long")
     slot = lambda k: F.sum(F.when(F.col("slot") == k, F.col("bytes")).otherwise(F.lit(0))).cast("long").alias(f"slot{k}")
-    return attributed.groupBy("imsi", tick.alias("tick")).agg(
-        side("uplink", F.col("bytes")).alias("ul_bytes"), side("downlink", F.col("bytes")).alias("dl_bytes"), side("uplink", F.lit(1)).alias("ul_packets"), side("downlink", F.lit(1)).alias("dl_packets"), slot(0), slot(1), slot(2)
-    )
+    return attributed.groupBy("imsi", "tick").agg(
+        side("uplink", "bytes").alias("ul_bytes"), side("downlink", "bytes").alias("dl_bytes"),
+        side("uplink", "packets").alias("ul_packets"), side("downlink", "packets").alias("dl_packets"), slot(0), slot(1), slot(2),
+    )
 
 
 class Cutter:
@@ -63,7 +68,8 @@ def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | N
     interval in ticks and volume in bytes, 0 for none. What is open at the end is cut as "shutdown", at end_tick or
     else at the subscriber's last tick; with gaps false a record is only looked at when its own events come.
     control: (imsi, tick, op); a release cuts a record behind its tick's usage even if nothing is pending, an install
-    opens the subscriber anew at its tick, with seq from 0.
+    opens the subscriber at its tick, with seq from 0, unless it is active already. From a release on, until an install, usage is on no
+    record: its tunnels are unknown (unbilled() counts it), and a second release does nothing.
     """
     schema = pa.schema([("imsi", pa.int64()), ("seq", pa.int64()), ("reason", pa.string()), ("start_tick", pa.int64()), ("end_tick", pa.int64()), *((c, pa.int64()) for c in SUMS)])
 
@@ -87,16 +93,17 @@ def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | N
             for who, tick, op, *sums in zip(*(b.column(c).to_pylist() for c in ("imsi", "tick", "op", *SUMS)), strict=True):
                 if who != imsi:
                     out += finish(imsi, own, last)
-                    imsi, own = who, Cutter(interval, volume, 0, gaps)
+                    imsi, own, last = who, Cutter(interval, volume, 0, gaps), 0
+                if op == "install":  # of an active session: a modification, which goes on counting
+                    if own is None or (own.seq == 0 and own.pending() == 0):
+                        own, last = Cutter(interval, volume, tick, gaps), tick
+                    continue
+                if own is None:  # released
+                    continue
                 if op == "release":
-                    if own is not None:
-                        out.append((who, *own.cut("release", tick)))
+                    out.append((who, *own.cut("release", tick)))
                     own = None
                     continue
-                if own is None or op == "install":
-                    own = Cutter(interval, volume, tick if op == "install" else 0, gaps)
-                    if op == "install":
-                        continue
                 out += [(who, *r) for r in own.add(tick, sums)]
                 last = tick
             if out:
@@ -113,6 +120,16 @@ def cut_records(summed: DataFrame, interval: int, volume: int, end_tick: int | N
     return rows.repartition("imsi").sortWithinPartitions("imsi", "tick", order).mapInArrow(run, ddl)
 
 
+def unbilled(summed: DataFrame, control: DataFrame) -> DataFrame:
+    """Usage between a release and the next install: (imsi, packets, bytes), which counts as unknown."""
+    rows = summed.select("imsi", "tick", F.lit(1).alias("place"), F.lit(None).cast("string").alias("op"), (F.col("ul_packets") + F.col("dl_packets")).alias("packets"), (F.col("ul_bytes") + F.col("dl_bytes")).alias("bytes"))
+    place = F.when(F.col("op") == "install", 0).otherwise(2)
+    marks = control.select("imsi", F.col("tick").cast("long").alias("tick"), place.alias("place"), "op", *(F.lit(0).cast("long").alias(c) for c in ("packets", "bytes")))
+    held = F.last("op", ignorenulls=True).over(Window.partitionBy("imsi").orderBy("tick", "place").rowsBetween(Window.unboundedPreceding, 0))
+    gone = rows.unionByName(marks).withColumn("held", held).where("held = 'release' and op is null")
+    return gone.groupBy("imsi").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+
+
 def with_buckets(records: DataFrame, ranked: DataFrame, start_ns: int, tick_ns: int, pkt_ticks: DataFrame) -> DataFrame:
     """Records with ``buckets``: array of (kind, id, bytes, aggregate), the ids as they stood when the record was cut.
 
@@ -138,7 +155,5 @@ def with_buckets(records: DataFrame, ranked: DataFrame, start_ns: int, tick_ns:
 
 def deltas(cumulative: DataFrame, *columns: str) -> DataFrame:
     """Cumulative counters by (imsi, seq) as what each record adds."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy("imsi").orderBy("seq")
     return cumulative.withColumns({c: F.col(c) - F.lag(c, 1, 0).over(by) for c in columns})

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_TEID = 0xFFFFFFFF
+#: Learned subscribers follow all lines of session tables.
+LEARNED_LINE = 1 << 62
 
 
 def valid(sessions: DataFrame) -> DataFrame:
@@ -22,18 +24,24 @@ def subscribers(sessions: DataFrame) -> DataFrame:
     return valid(sessions).groupBy("imsi").agg(F.min("line_no").alias("first_line"), *(last(c) for c in ("ul_teid", "dl_teid", "rating_group", "msisdn", "apn")), F.count("*").alias("installs"))
 
 
+#: Subscribers are numbered within blocks of so many places of their first install.
+PLACES = 1 << 16
+
+
 def numbered(installed: DataFrame) -> DataFrame:
-    """Adds ``sub``: 0, 1, ... in the order of first installs, by ranges, so that no task sees all of them."""
-    spark = installed.sparkSession
-    dealt = installed.repartitionByRange("first_line", "imsi").sortWithinPartitions("first_line", "imsi").withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # one row a partition
-    offsets, seen = [], 0
-    for r in sorted(counts):
-        offsets.append((r.part, seen))
-        seen += r.n
-    base = spark.createDataFrame(offsets, "_part long, _base long")
-    return dealt.join(F.broadcast(base), part == F.col("_part")).withColumn("sub", F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_base")
+    """Adds ``sub``: 0, 1, ... in the order of first installs.
+
+    Places are whole numbers, so a block of PLACES neighbouring ones has no more subscribers than places (unless
+    several share one) and is ranked by itself; the blocks' counts, a 65,536th of the rows, are summed in order. Blocks
+    follow from the data alone, so that it doesn't matter how often or where the plan runs.
+    """
+    block = F.shiftright("first_line", PLACES.bit_length() - 1)
+    rows = installed.withColumn("_block", block)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    base = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("first_line", "imsi")) - 1
+    return rows.join(base, "_block").withColumn("sub", F.col("_base") + rank).drop("_block", "_base")
 
 
 def bindings(sessions: DataFrame) -> DataFrame:

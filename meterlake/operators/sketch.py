@@ -30,7 +30,7 @@ def quantiles(sketch: DataFrame, which: tuple = QUANTILES, *key: str) -> DataFra
 
 def summary(df: DataFrame, value: str) -> DataFrame:
     """One row: count, min, max, mean, and p50 to p9999 from the sketch."""
-    exact = df.agg(F.count(value).alias("count"), F.min(value).alias("min_ns"), F.max(value).alias("max_ns"), F.avg(value).alias("mean_ns"))
+    exact = df.agg(F.count(value).alias("count"), F.min(value).alias("min_ns"), F.max(value).alias("max_ns"), F.round(F.avg(value), 1).alias("mean_ns"))
     named = dict(zip(QUANTILES, ("p50_ns", "p90_ns", "p99_ns", "p999_ns", "p9999_ns"), strict=True))
     got = quantiles(histogram(df, value)).agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(n) for q, n in named.items()))
     return exact.crossJoin(got)  # one row each

@@ -15,6 +15,7 @@ class Config:
     track_flows: bool = True
     report_interval_ns: int = 10_000_000_000  # 0: no record by time
     volume_threshold_bytes: int = 100 << 20  # 0: no record by volume
+    start_ns: int = 0  # where the ticks are counted from
     tick_ns: int = 100_000_000  # how often open records are looked at
     latency_sample_every: int = 8
     top_flows: int = 64

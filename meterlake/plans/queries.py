@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ from meterlake.plans import contract
 from meterlake.plans.config import Config
 from meterlake.plans.metering import Metering
 from meterlake.report import documents, prometheus
+from meterlake.sources.shared import shared_dir, written
 
 INTERVAL_TICKS, VOLUME = 24, 20_000
-CUTTING = Config(report_interval_ns=INTERVAL_TICKS * contract.HOUR_NS, volume_threshold_bytes=VOLUME, tick_ns=contract.HOUR_NS)
+CUTTING = Config(report_interval_ns=INTERVAL_TICKS * contract.HOUR_NS, volume_threshold_bytes=VOLUME, start_ns=contract.START_NS, tick_ns=contract.HOUR_NS)
 #: From this packet on, sessions are modified, released and installed again in session_modification.
 CHANGE_PKT, RETURN_PKT = 400, 700
 
@@ -64,14 +67,27 @@ def plan(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Meterin
     return Metering(contract.packets(found), contract.sessions(found), config)
 
 
+def stored(spark: SparkSession, sf_dir: str, config: Config = CUTTING) -> Metering:
+    """plan() with usage by tick written once, for queries that read it more than once."""
+    return plan(spark, sf_dir, config).stored()
+
+
 def charging(spark: SparkSession, sf_dir: str) -> Metering:
     """The plan over the charging messages alone; the counters they report come from the packets."""
-    own = plan(spark, sf_dir)
-    other = Metering(contract.charging_packets(own.counters), own.sessions)
-    other.counters = own.counters
+    own = stored(spark, sf_dir)
+    counters = written(own.counters, "counters")
+    other = Metering(contract.charging_packets(counters), own.sessions)
+    other.counters = counters
     return other
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> Metering:
+    """The plan over one capture that holds both the tunnels and the charging messages."""
+    own = stored(spark, sf_dir)
+    messages = written(contract.charging_packets(own.counters), "charging")
+    return Metering(own.packets.unionByName(messages), own.sessions, CUTTING).stored()
+
+
 def longs(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT."""
     return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes))
@@ -112,8 +128,8 @@ def subscriber_counters(spark, sf_dir):
   count(*) filter (event_type in ('click', 'purchase')) as ul_packets, count(*) filter (event_type = 'view') as dl_packets,
   count(*) filter (event_type = 'signup') as unknown_teid_events, sum(case when event_type = 'signup' then bytes else 0 end)::bigint as unknown_teid_bytes from m""")
 def pipeline_totals(spark, sf_dir):
-    p = plan(spark, sf_dir)
-    return metering.totals(p.events, p.attributed)
+    p = stored(spark, sf_dir)
+    return metering.totals(p.combined, p.attributed)
 
 
 @query("select count(*) as events, coalesce(sum(bytes), 0)::bigint as bytes from m where event_type = 'signup'")
@@ -198,8 +214,8 @@ def subscriber_lookup(spark, sf_dir):
 
 @query("select teid, sum(bytes)::bigint as bytes from bound group by teid having sum(bytes) > 0")
 def teid_totals(spark, sf_dir):
-    p = plan(spark, sf_dir, CUTTING)
-    return checks.teid_totals(sessions.subscribers(p.sessions), p.records(contract.START_NS))
+    p = stored(spark, sf_dir)
+    return checks.teid_totals(sessions.subscribers(p.sessions), p.records())
 
 
 def record_sql(gaps: bool) -> str:
@@ -238,12 +254,12 @@ def record_sql(gaps: bool) -> str:
 
 @query(record_sql(True) + "select * from cut_records")
 def usage_records_tick(spark, sf_dir):
-    return plan(spark, sf_dir, CUTTING).records(contract.START_NS).select("imsi", "seq", "reason", "start_tick", "end_tick", "ul_bytes", "dl_bytes")
+    return stored(spark, sf_dir).records(contract.START_NS).select("imsi", "seq", "reason", "start_tick", "end_tick", "ul_bytes", "dl_bytes")
 
 
 @query(record_sql(False) + "select * from cut_records")
 def usage_records_event(spark, sf_dir):
-    return plan(spark, sf_dir, CUTTING).records(contract.START_NS, gaps=False).select("imsi", "seq", "reason", "start_tick", "end_tick", "ul_bytes", "dl_bytes")
+    return stored(spark, sf_dir).records(contract.START_NS, gaps=False).select("imsi", "seq", "reason", "start_tick", "end_tick", "ul_bytes", "dl_bytes")
 
 
 AT_CUT = """, at_cut as (
@@ -269,41 +285,40 @@ AT_CUT = """, at_cut as (
   || ',"ul_pkts":' || up || ',"dl_pkts":' || dp || ',"interval_ns":' || (end_tick - start_tick) * {contract.HOUR_NS} || ',"buckets":[' || buckets || ']}}' as value
 from cut_records c join packed p on p.imsi = c.imsi and p.seq = c.seq join listed l on l.imsi = c.imsi and l.seq = c.seq join (select user_imsi as imsi, dense_rank() over (order by user_id) - 1 as sub from (select distinct user_id, user_imsi from m)) s on s.imsi = c.imsi""")
 def usage_record_ndjson(spark, sf_dir):
-    p = plan(spark, sf_dir, CUTTING)
-    return documents.record_lines(p.records_with_buckets(contract.START_NS), sessions.numbered(sessions.subscribers(p.sessions)), contract.START_NS, contract.HOUR_NS)
+    p = stored(spark, sf_dir)
+    return documents.record_lines(p.records_with_buckets(), sessions.numbered(p.subscribers), contract.START_NS, contract.HOUR_NS)
 
 
 @query(record_sql(True) + AT_CUT + "select imsi, seq, slot::bigint as slot, bytes from at_cut where bytes > 0")
 def usage_record_buckets(spark, sf_dir):
-    r = plan(spark, sf_dir, CUTTING).records(contract.START_NS)
+    r = stored(spark, sf_dir).records(contract.START_NS)
     each = r.select("imsi", "seq", F.posexplode(F.array("slot0", "slot1", "slot2")).alias("slot", "bytes"))
     return longs(each.where("bytes > 0"))
 
 
 @query("select imsi, sum(case when direction = 'uplink' then bytes else 0 end)::bigint as ul_bytes, sum(case when direction = 'downlink' then bytes else 0 end)::bigint as dl_bytes, count(*) filter (direction = 'uplink') as ul_packets, count(*) filter (direction = 'downlink') as dl_packets, true as gapless from bound group by imsi")
 def record_rollup_check(spark, sf_dir):
-    return checks.rollup(plan(spark, sf_dir, CUTTING).records(contract.START_NS)).drop("records")
+    return checks.rollup(stored(spark, sf_dir).records(contract.START_NS)).drop("records")
 
 
 @query(record_sql(True) + "select imsi, count(*) as records, true as gapless from cut_records group by imsi")
 def sequence_gap_check(spark, sf_dir):
-    return checks.rollup(plan(spark, sf_dir, CUTTING).records(contract.START_NS)).select("imsi", "records", "gapless")
+    return checks.rollup(stored(spark, sf_dir).records(contract.START_NS)).select("imsi", "records", "gapless")
 
 
 @query("select 0::bigint as imsi, ''::varchar as side where false")
 def record_mismatches(spark, sf_dir):
     """What the records sum to against the counters, both ways: no rows."""
-    p = plan(spark, sf_dir, CUTTING)
+    p = stored(spark, sf_dir)
     columns = ("imsi", "ul_bytes", "dl_bytes", "ul_packets", "dl_packets")
-    return checks.difference(p.counters.select(*columns), checks.rollup(p.records(contract.START_NS)).select(*columns)).select("imsi", "side")
+    return checks.difference(p.counters.select(*columns), checks.rollup(p.records()).select(*columns)).select("imsi", "side")
 
 
 @query("""select teid, bytes, packets, first_pkt from (select teid, sum(bytes)::bigint as bytes, count(*) as packets, min(pkt_no) as first_pkt from m where event_type = 'signup' group by teid)""")
 def learned_subscribers(spark, sf_dir):
-    p = plan(spark, sf_dir, Config(learn_unknown_teids=True))
-    known = sessions.bindings(p.sessions)
-    found = metering.learned(p.usage, known).select("teid", "first_pkt")
-    return p.attributed.drop("first_pkt").join(found, "teid").groupBy("teid", "first_pkt").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
+    p = stored(spark, sf_dir, dataclasses.replace(CUTTING, learn_unknown_teids=True))
+    total = p.counters.select("imsi", (F.col("ul_bytes") + F.col("dl_bytes")).alias("bytes"), (F.col("ul_packets") + F.col("dl_packets")).alias("packets"))
+    return p.learned.select("teid", "imsi", "first_pkt").join(total, "imsi").select("teid", "bytes", "packets", "first_pkt")
 
 
 GY = f", c as ({COUNTERS}), g as (select *, imsi - {contract.IMSI_BASE} as u from c)"
@@ -388,32 +403,46 @@ def session_releases(spark, sf_dir):
     return sessions.releases(control(contract.events(spark, sf_dir)))
 
 
-SERIES = (
-    ("ingest_frames_total", "count(*)"), ("ingest_frame_bytes_total", "sum(wire_bytes)"), ("ingest_gpdus_total", "count(*) filter (not control)"), ("ingest_gtpu_control_total", "count(*) filter (control)"), ("ingest_parse_errors_total", "0 * count(*)"),
-    ("ingest_inner_parse_errors_total", "0 * count(*)"), ("ingest_not_our_traffic_total", "0 * count(*)"), ("ingest_events_pushed_total", "count(*)"), ("ingest_events_dropped_total", "0 * count(*)"), ("diameter_messages_total", "0 * count(*)"), ("diameter_parse_errors_total", "0 * count(*)"), ("gy_events_total", "0 * count(*)"),
-    ("meter_events_total", "count(*)"), ("meter_bytes_total", "sum(bytes)"), ('meter_direction_bytes_total{direction="uplink"}', "sum(bytes) filter (event_type in (''click'', ''purchase''))"), ('meter_direction_bytes_total{direction="downlink"}', "sum(bytes) filter (event_type = ''view'')"),
-    ('meter_direction_packets_total{direction="uplink"}', "count(*) filter (event_type in (''click'', ''purchase''))"), ('meter_direction_packets_total{direction="downlink"}', "count(*) filter (event_type = ''view'')"),
-    ("meter_unknown_teid_events_total", "count(*) filter (event_type = ''signup'')"), ("meter_unknown_teid_bytes_total", "sum(bytes) filter (event_type = ''signup'')"),
-)
-
-
-def counters_row(spark, sf_dir) -> DataFrame:
-    p = plan(spark, sf_dir)
-    one = ingest.totals(p.frames, p.tunnels, p.events, p.segments).crossJoin(metering.totals(p.events, p.attributed))  # one row each
-    return one.withColumn("not_our_traffic", F.col("not_gtpu_port") + F.col("non_ip"))
-
-
-@query(" union all ".join(f"select '{prometheus.PREFIX}{n}' as name, coalesce({e}, 0)::bigint as value from m".replace("''", "'") for n, e in SERIES))
+#: Charging frames are of one length each.
+CHARGING_BYTES = 14 + 20 + 20 + 20 + 16 + 12 + 12 + 44 + 60
+STATE = f"""{record_sql(True)}, c as ({COUNTERS}), told as (
+  select count(*) as messages, sum(ul_bytes + dl_bytes + (imsi - {contract.IMSI_BASE}) % 3 * 100)::bigint as octets from c
+), state as (
+  select count(*) as events, count(*) + messages as frames, sum(wire_bytes)::bigint + {CHARGING_BYTES} * messages as frame_bytes, count(*) filter (not control) as gpdus, count(*) filter (control) as control,
+    messages, octets, sum(bytes)::bigint as bytes, sum(bytes) filter (event_type in ('click', 'purchase'))::bigint as ul_bytes, sum(bytes) filter (event_type = 'view')::bigint as dl_bytes,
+    count(*) filter (event_type in ('click', 'purchase')) as ul_packets, count(*) filter (event_type = 'view') as dl_packets, count(*) filter (event_type = 'signup') as unknown_events,
+    coalesce(sum(bytes) filter (event_type = 'signup'), 0)::bigint as unknown_bytes, (select count(*) from cut_records) as records, count(distinct user_id) as subscribers,
+    (select count(*) from (select distinct user_id, k % 4, pkt_no % 3 from bound)) as flows from m, told group by messages, octets
+)"""
+# each counter and gauge with the column of STATE that it is, or 0
+SERIES = {
+    "ingest_frames_total": "frames", "ingest_frame_bytes_total": "frame_bytes", "ingest_gpdus_total": "gpdus", "ingest_gtpu_control_total": "control", "ingest_parse_errors_total": "0",
+    "ingest_inner_parse_errors_total": "0", "ingest_not_our_traffic_total": "0", "ingest_events_pushed_total": "events", "ingest_events_dropped_total": "0", "diameter_messages_total": "messages",
+    "diameter_parse_errors_total": "0", "meter_events_total": "events", "meter_bytes_total": "bytes", 'meter_direction_bytes_total{direction="uplink"}': "ul_bytes",
+    'meter_direction_bytes_total{direction="downlink"}': "dl_bytes", 'meter_direction_packets_total{direction="uplink"}': "ul_packets", 'meter_direction_packets_total{direction="downlink"}': "dl_packets",
+    "teid_bind_failures_total": "0", "meter_unknown_teid_events_total": "unknown_events", "meter_unknown_teid_bytes_total": "unknown_bytes", "meter_flow_inserts_total": "flows",
+    "meter_flow_evictions_total": "0", "usage_records_emitted_total": "records", "usage_records_dropped_total": "0", "usage_records_written_total": "records", "gy_events_total": "messages",
+    "gy_reported_octets_total": "octets", "subscribers_active": "subscribers", "flows_active": "flows",
+}
+
+
+@query(STATE + " union all ".join(f"select '{prometheus.PREFIX}{n}' as name, {e}::bigint as value from state" for n, e in SERIES.items()))
 def prometheus_series(spark, sf_dir):
-    return prometheus.series(counters_row(spark, sf_dir))
-
-
-@query("""select '{"ingest":{"frames":' || count(*) || ',"bytes":' || sum(wire_bytes) || ',"gpdus":' || count(*) filter (not control) || ',"control":' || count(*) filter (control) || ',"parse_errors":0,"events_pushed":' || count(*)
-  || ',"events_dropped":0,"diameter_messages":0},"meter":{"events":' || count(*) || ',"bytes":' || sum(bytes) || ',"ul_bytes":' || sum(bytes) filter (event_type in ('click', 'purchase')) || ',"dl_bytes":' || sum(bytes) filter (event_type = 'view')
-  || ',"ul_packets":' || count(*) filter (event_type in ('click', 'purchase')) || ',"dl_packets":' || count(*) filter (event_type = 'view') || ',"unknown_teid_events":' || count(*) filter (event_type = 'signup') || ',"unknown_teid_bytes":' || sum(bytes) filter (event_type = 'signup')
-  || ',"teid_bind_failures":0,"flows_active":0,"flow_evictions":0,"records_emitted":0,"records_dropped":0,"records_written":0,"gy_events":0},"latency_ns":{"count":0,"min":0,"p50":0,"p90":0,"p99":0,"p999":0,"p9999":0,"max":0,"mean":0}}' as value from m""")
+    return prometheus.series(mixed(spark, sf_dir).state())
+
+
+@query(STATE + LATENCY.replace(", v as", ", v as", 1) + """, lat as (select pkt_no, v, edge, idx from h join v using (pkt_no) where pkt_no % 8 = 7), q as (""" + QUANTILE_SQL % "lat" + """)
+select '{"ingest":{"frames":' || frames || ',"bytes":' || frame_bytes || ',"gpdus":' || gpdus || ',"control":' || control || ',"parse_errors":0,"events_pushed":' || events
+  || ',"events_dropped":0,"diameter_messages":' || messages || '},"meter":{"events":' || events || ',"bytes":' || bytes || ',"ul_bytes":' || ul_bytes || ',"dl_bytes":' || dl_bytes
+  || ',"ul_packets":' || ul_packets || ',"dl_packets":' || dl_packets || ',"unknown_teid_events":' || unknown_events || ',"unknown_teid_bytes":' || unknown_bytes
+  || ',"teid_bind_failures":0,"flows_active":' || flows || ',"flow_evictions":0,"records_emitted":' || records || ',"records_dropped":0,"records_written":' || records || ',"gy_events":' || messages
+  || '},"teid_table":{"size":' || 2 * subscribers || '},"latency_ns":{"count":' || (select count(*) from lat) || ',"min":' || (select min(v) from lat)
+  || ',"p50":' || (select value from q where quantile = 0.5) || ',"p90":' || (select value from q where quantile = 0.9) || ',"p99":' || (select value from q where quantile = 0.99)
+  || ',"p999":' || (select value from q where quantile = 0.999) || ',"p9999":' || (select value from q where quantile = 0.9999) || ',"max":' || (select max(v) from lat)
+  || ',"mean":' || (select round(avg(v), 1) from lat) || '}}' as value from state""")
 def stats_document(spark, sf_dir):
-    return documents.stats_document(counters_row(spark, sf_dir))
+    p = mixed(spark, sf_dir)
+    return documents.stats_document(p.state(latency=sketch.sampled(latencies(spark, sf_dir), 8), value="v"))
 
 
 @query("select proto::bigint as proto, version::bigint as ip_version, packets, bytes from (select 17 as proto, 4 as version, count(*) as packets, sum(bytes)::bigint as bytes from m where not control)")
@@ -426,8 +455,9 @@ def inner_protocol_mix(spark, sf_dir):
 def hourly_usage_window(spark, sf_dir):
     p = plan(spark, sf_dir)
     ts = F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000)))
-    known = p.events.where("not control").join(p.bindings, "teid").withColumn("direction", metering.direction(F.col("binding_dir"), F.col("dir")))
-    hourly = known.groupBy(F.window(ts, "1 hour").alias("w"), "direction").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("packets"))
+    summed = p.events.where("not control").groupBy("teid", "dir", F.window(ts, "1 hour").alias("w")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("packets"))
+    known = summed.join(p.bindings, "teid").withColumn("direction", metering.direction(F.col("binding_dir"), F.col("dir")))
+    hourly = known.groupBy("w", "direction").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
     return hourly.select(F.unix_seconds("w.start").alias("hour_s"), "direction", "bytes", "packets")
 
 
@@ -456,11 +486,18 @@ union all select distinct user_imsi, 0, 'release', 0, 0, {RELEASE_TICK} from m w
   (select imsi from bound where (ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS} <= {RELEASE_TICK})""")
 def usage_record_releases(spark, sf_dir):
     """A fifth of the subscribers is released at a tick: a last record each, even of nothing; later packets are unknown."""
-    p = plan(spark, sf_dir)
+    p = stored(spark, sf_dir, dataclasses.replace(CUTTING, report_interval_ns=0, volume_threshold_bytes=0))
     gone = sessions.subscribers(p.sessions).where("imsi % 5 = 1").select("imsi", F.lit(RELEASE_TICK).alias("tick"), F.lit("release").alias("op"))
     opened = gone.withColumns({"tick": F.lit(0), "op": F.lit("install")})
-    used = records.ticks(p.slotted_events, contract.START_NS, contract.HOUR_NS).where(f"imsi % 5 <> 1 or tick <= {RELEASE_TICK}")
-    return records.cut_records(used, 0, 0, control=gone.unionByName(opened)).select("imsi", "seq", "reason", "ul_bytes", "dl_bytes", "end_tick")
+    return p.records(control=gone.unionByName(opened)).select("imsi", "seq", "reason", "ul_bytes", "dl_bytes", "end_tick")
+
+
+@query(f"""select imsi, count(*) as packets, sum(bytes)::bigint as bytes from bound where imsi % 5 = 1 and (ts_ns - {contract.START_NS} + {contract.HOUR_NS - 1}) // {contract.HOUR_NS} > {RELEASE_TICK} group by imsi""")
+def usage_after_release(spark, sf_dir):
+    """What comes on the tunnels of released subscribers: unknown, and on no record."""
+    p = stored(spark, sf_dir)
+    gone = sessions.subscribers(p.sessions).where("imsi % 5 = 1").select("imsi", F.lit(RELEASE_TICK).alias("tick"), F.lit("release").alias("op"))
+    return records.unbilled(p.ticks(), gone)
 
 
 @query(record_sql(True) + "select imsi, seq, ul_bytes, dl_bytes from cut_records")
@@ -468,7 +505,7 @@ def usage_record_deltas(spark, sf_dir):
     """Cumulative counters at each record, taken apart again."""
     from pyspark.sql import Window
 
-    r = plan(spark, sf_dir, CUTTING).records(contract.START_NS)
+    r = stored(spark, sf_dir).records(contract.START_NS)
     by = Window.partitionBy("imsi").orderBy("seq")
     cumulative = r.select("imsi", "seq", *(F.sum(c).over(by).alias(c) for c in ("ul_bytes", "dl_bytes")))
     return records.deltas(cumulative, "ul_bytes", "dl_bytes")
@@ -477,7 +514,7 @@ def usage_record_deltas(spark, sf_dir):
 @query("select count(distinct user_id) as subscribers_active, (select count(*) from (select distinct user_id, k % 4, pkt_no % 3 from bound)) as flows_active from m")
 def derived_gauges(spark, sf_dir):
     p = plan(spark, sf_dir)
-    return sessions.subscribers(p.sessions).agg(F.count("*").alias("subscribers_active")).crossJoin(p.flows.agg(F.count("*").alias("flows_active")))  # one row each
+    return p.subscribers.agg(F.count("*").alias("subscribers_active")).crossJoin(p.flows.agg(F.count("*").alias("flows_active")))  # one row each
 
 
 SUBS = "select user_imsi as imsi, dense_rank() over (order by user_id) - 1 as sub, ul_teid from (select distinct user_id, user_imsi, ul_teid from m)"
@@ -488,17 +525,17 @@ SUBS = "select user_imsi as imsi, dense_rank() over (order by user_id) - 1 as su
 from ({FLOWS.replace("sum(bytes)::bigint as bytes", "sum(bytes)::bigint as bytes, arg_min(coalesce(qfi, 0), pkt_no) as qfi")}) f join ({SUBS}) s on s.imsi = f.imsi""")
 def flows_document(spark, sf_dir):
     p = plan(spark, sf_dir)
-    return documents.flow_rows(p.flows, sessions.numbered(sessions.subscribers(p.sessions))).select("bytes", "value")
+    return documents.flow_rows(p.flows, sessions.numbered(p.subscribers)).select("bytes", "value")
 
 
 @query(f""", slotted as (select imsi, slot, arg_min(bucket, first_pkt) as bucket, sum(bytes)::bigint as bytes, max(ids) > 3 as many from ranked group by imsi, slot), texts as (
   select imsi, string_agg('{{"kind":"' || case when bucket >= 2147483648 then 'qfi' else 'rating-group' end || '","id":' || bucket % 2147483648 || ',"bytes":' || bytes || '}}', ',' order by slot) as buckets, bool_or(slot = 2 and many) as aggregated from slotted group by imsi
 ) select s.imsi, '{{"imsi":"' || s.imsi || '","sub":' || sub || ',"ul_teid":' || ul_teid || ',"dl_teid":' || (ul_teid + 1) || ',"ul_bytes":' || coalesce(ul_bytes, 0) || ',"dl_bytes":' || coalesce(dl_bytes, 0) || ',"ul_packets":' || coalesce(ul_packets, 0)
-  || ',"dl_packets":' || coalesce(dl_packets, 0) || ',"gy_reported_octets":0,"gy_reports":0,"buckets":[' || buckets || '],"bucket_aggregated":' || aggregated || '}}' as value
+  || ',"dl_packets":' || coalesce(dl_packets, 0) || ',"gy_reported_octets":' || coalesce(ul_bytes + dl_bytes + (s.imsi - {contract.IMSI_BASE}) % 3 * 100, 0) || ',"gy_reports":' || case when c.imsi is null then 0 else 1 end || ',"buckets":[' || buckets || '],"bucket_aggregated":' || aggregated || '}}' as value
 from ({SUBS}) s left join ({COUNTERS}) c on c.imsi = s.imsi join texts t on t.imsi = s.imsi""")
 def subscribers_document(spark, sf_dir):
-    p = plan(spark, sf_dir)
-    return documents.subscriber_rows(p.counters, sessions.numbered(sessions.subscribers(p.sessions)), metering.slots(p.buckets), p.gy_totals).select("imsi", "value")
+    p = mixed(spark, sf_dir)
+    return documents.subscriber_rows(p.counters, sessions.numbered(p.subscribers), metering.slots(p.buckets), p.gy_totals).select("imsi", "value")
 
 
 LINES = ("# comment", "imsi,ul_teid,dl_teid,rating_group,msisdn,apn", "310150000000001,100,200,10,15551234567,internet", " 310150000000003 , 0x1000,0x2000,5", "not-a-number,1,2,3", "310150000000005", "310150000000006,4294967296,2,3", "0,1,2,3", "7,8,9,bad")
@@ -527,14 +564,13 @@ def dissector_totals(spark, sf_dir):
 @query(record_sql(True) + "select * from cut_records")
 def usage_records_stream(spark, sf_dir):
     """The record cutter as a stream over packets in files, ended by a mark for each subscriber."""
-    import tempfile
     import uuid
 
     from meterlake.streaming import meter_stream
 
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     meter_stream.use_rocksdb(spark)
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     p = plan(spark, sf_dir, CUTTING)
     p.packets.write.parquet(f"{root}/packets")
     bindings = sessions.bindings(p.sessions)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.formats import bucket_kind, bucket_number, rfc3339
 from meterlake.functions.ip import format_ip
+from meterlake.operators.metering import shown
 
 RECORD_SCHEMA = "ts string, imsi string, sub long, seq long, reason string, ul_bytes long, dl_bytes long, ul_pkts long, dl_pkts long, interval_ns long, buckets array<struct<kind: string, id: long, bytes: long, aggregate: boolean>>"
 
@@ -16,7 +17,7 @@ def record_lines(records: DataFrame, numbered: DataFrame, start_ns: int, tick_ns
     named = records.join(numbered.select("imsi", "sub"), "imsi")
     at = F.lit(start_ns) + F.col("end_tick") * tick_ns
     return named.select(F.to_json(F.struct(
-        rfc3339(at).alias("ts"), F.col("imsi").cast("string").alias("imsi"), "sub", "seq", "reason", "ul_bytes", "dl_bytes", F.col("ul_packets").alias("ul_pkts"), F.col("dl_packets").alias("dl_pkts"),
+        rfc3339(at).alias("ts"), shown(F.col("imsi")).cast("string").alias("imsi"), "sub", "seq", "reason", "ul_bytes", "dl_bytes", F.col("ul_packets").alias("ul_pkts"), F.col("dl_packets").alias("dl_pkts"),
         ((F.col("end_tick") - F.col("start_tick")) * tick_ns).alias("interval_ns"), "buckets",
     )).alias("value"))
 
@@ -36,7 +37,7 @@ def subscriber_rows(counters: DataFrame, installed: DataFrame, slotted: DataFram
     """One JSON object a subscriber (columns imsi, total, value). installed: sessions.numbered()."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     df = installed.select("imsi", "sub", "ul_teid", "dl_teid").join(counters, "imsi", "left").join(gy_totals, "imsi", "left").join(bucket_array(slotted), "imsi", "left")
-    doc = F.struct(F.col("imsi").cast("string").alias("imsi"), "sub", "ul_teid", "dl_teid", *map(zero, ("ul_bytes", "dl_bytes", "ul_packets", "dl_packets", "gy_reported_octets", "gy_reports")), "buckets", "bucket_aggregated")
+    doc = F.struct(shown(F.col("imsi")).cast("string").alias("imsi"), "sub", "ul_teid", "dl_teid", *map(zero, ("ul_bytes", "dl_bytes", "ul_packets", "dl_packets", "gy_reported_octets", "gy_reports")), "buckets", "bucket_aggregated")
     return df.select("imsi", "sub", (F.coalesce("ul_bytes", F.lit(0)) + F.coalesce("dl_bytes", F.lit(0))).alias("total"), F.to_json(doc).alias("value"))
 
 
@@ -56,17 +57,15 @@ SECTIONS = {
         "events": "events", "bytes": "bytes", "ul_bytes": "ul_bytes", "dl_bytes": "dl_bytes", "ul_packets": "ul_packets", "dl_packets": "dl_packets", "unknown_teid_events": "unknown_teid_events", "unknown_teid_bytes": "unknown_teid_bytes",
         "teid_bind_failures": "teid_bind_failures", "flows_active": "flows_active", "flow_evictions": "flow_evictions", "records_emitted": "records_emitted", "records_dropped": "records_dropped", "records_written": "records_written", "gy_events": "gy_events",
     },
+    "teid_table": {"size": "teids_bound"},
     "latency_ns": {"count": "count", "min": "min_ns", "p50": "p50_ns", "p90": "p90_ns", "p99": "p99_ns", "p999": "p999_ns", "p9999": "p9999_ns", "max": "max_ns", "mean": "mean_ns"},
 }
 
 
 def stats_document(one_row: DataFrame) -> DataFrame:
-    """The counters of one row as a nested JSON document (column value); what the row lacks is 0."""
-
-    def field(name: str, column: str) -> Column:
-        return (F.coalesce(F.col(column), F.lit(0)) if column in one_row.columns else F.lit(0)).alias(name)
-
-    return one_row.select(F.to_json(F.struct(*(F.struct(*(field(n, c) for n, c in fields.items())).alias(section) for section, fields in SECTIONS.items()))).alias("value"))
+    """The counters of Metering.state() as a nested JSON document (column value)."""
+    sections = [F.struct(*(F.coalesce(F.col(column), F.lit(0)).alias(name) for name, column in fields.items())).alias(section) for section, fields in SECTIONS.items()]
+    return one_row.select(F.to_json(F.struct(*sections)).alias("value"))
 
 
 def csv_sessions(sessions: DataFrame) -> DataFrame:

@@ -45,9 +45,10 @@ QUANTILES = (("0.5", "p50_ns"), ("0.9", "p90_ns"), ("0.99", "p99_ns"), ("0.999",
 
 
 def series(one_row: DataFrame) -> DataFrame:
-    """Of one row with the counters' columns (those that are there): rows (name, value)."""
-    there = [(PREFIX + name, column) for name, _, _, column in COUNTERS if column in one_row.columns]
-    return one_row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in there))).alias("s")).select("s.*")
+    """Of Metering.state(): rows (name, value), all counters and the gauges but the time since the start."""
+    named = [(PREFIX + name, column) for name, _, _, column in COUNTERS] + [(PREFIX + name, column) for name, _, column in GAUGES if column != "uptime_s"]
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in named))
+    return one_row.select(F.explode(rows).alias("s")).select("s.*")
 
 
 def gauge_text(x: float) -> str:

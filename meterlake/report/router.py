@@ -86,16 +86,17 @@ def collect(metering, config=None) -> ReadModel:
     """A read model of a Metering plan: at most config.top_subscribers and config.top_flows rows come to the driver."""
     from pyspark.sql import functions as F
 
-    from meterlake.operators import ingest, metering as ops, sessions
+    from meterlake.operators import metering as ops, sessions
     from meterlake.report import documents
 
     config = config or metering.config
-    one = ingest.totals(metering.frames, metering.tunnels, metering.events, metering.segments).crossJoin(ops.totals(metering.events, metering.attributed))
-    installed = sessions.numbered(sessions.subscribers(metering.sessions))
+    one = metering.state().first()
+    installed = sessions.numbered(metering.subscribers)
     rows = documents.subscriber_rows(metering.counters, installed, ops.slots(metering.buckets), metering.gy_totals).orderBy(F.desc("total"), "sub").limit(config.top_subscribers)
     top = documents.flow_rows(metering.flows, installed).orderBy(F.desc("bytes"), "flow_key").limit(config.top_flows)
-    stats = documents.stats_document(one).first().value
-    return ReadModel(stats, one.first().asDict(), {}, [json.loads(r.value) for r in rows.collect()], installed.count(), [json.loads(r.value) for r in top.collect()])
+    spark, state = installed.sparkSession, one.asDict()
+    stats = documents.stats_document(spark.createDataFrame([one], metering.state().schema)).first().value
+    return ReadModel(stats, state, {k: state[k] for k in documents.SECTIONS["latency_ns"].values()}, [json.loads(r.value) for r in rows.collect()], installed.count(), [json.loads(r.value) for r in top.collect()])
 
 
 def serve(model: ReadModel, port: int, bind: str = "127.0.0.1"):

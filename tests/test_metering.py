@@ -65,7 +65,7 @@ def test_direction_comes_from_the_binding(spark):
 
 def test_unknown_and_control(spark):
     m = plan(spark, [{"teid": 999, "bytes": 1000}, {"control": True, "bytes": 0}, {"ts": 5}], BASE)
-    t = metering.totals(m.events, m.attributed).first()
+    t = metering.totals(m.combined, m.attributed).first()
     assert (t.unknown_teid_events, t.unknown_teid_bytes, t.control_pdus, t.ul_bytes, t.bytes, t.events, t.last_event_ns) == (1, 1000, 1, 100, 1100, 3, 5)
     assert [tuple(r) for r in metering.unknown_by_teid(m.attributed).collect()] == [(999, 1, 1000)]
 
@@ -73,8 +73,36 @@ def test_unknown_and_control(spark):
 def test_learning(spark):
     m = plan(spark, [{"teid": 4242, "bytes": 700, "dir": "downlink"}, {"teid": 4242, "bytes": 1, "dir": "uplink"}], BASE, Config(learn_unknown_teids=True))
     c = m.counters.first()
-    assert (c.imsi, c.dl_bytes, c.dl_packets, c.ul_bytes) == (0, 701, 2, 0)
-    assert metering.totals(m.events, m.attributed).first().unknown_teid_events == 0
+    assert (c.imsi, c.dl_bytes, c.dl_packets, c.ul_bytes) == (-4242, 701, 2, 0)
+    assert metering.totals(m.combined, m.attributed).first().unknown_teid_events == 0
+
+
+def test_each_unknown_tunnel_is_a_subscriber_of_its_own(spark):
+    m = plan(spark, [{"teid": 7, "bytes": 100, "ts": 40}, {"teid": 9, "bytes": 900, "ts": 50}, {"teid": 7, "bytes": 1, "qfi": 3, "ts": 60}], BASE, Config(learn_unknown_teids=True, tick_ns=1))
+    assert sorted((r.imsi, r.ul_bytes) for r in m.counters.collect()) == [(-9, 900), (-7, 101)]
+    assert [(r.imsi, r.sub, r.ul_teid, r.dl_teid) for r in sessions.numbered(m.subscribers).orderBy("sub").collect()] == [(IMSI, 0, 100, 200), (-7, 1, 7, 0), (-9, 2, 9, 0)]
+    assert sorted((r.imsi, r.slot, r.bytes) for r in metering.slots(m.buckets).where("imsi < 0").collect()) == [(-9, 0, 900), (-7, 0, 100), (-7, 1, 1)]
+    assert sorted((r.imsi, r.reason, r.start_tick, r.end_tick, r.ul_bytes) for r in m.records().collect()) == [(-9, "shutdown", 50, 50, 900), (-7, "shutdown", 40, 60, 101)]
+
+
+def test_usage_after_a_release_is_unknown(spark):
+    m = plan(spark, [{"bytes": 700, "ts": 5}, {"bytes": 700, "ts": 60}, {"bytes": 9, "ts": 90}], BASE, Config(report_interval_ns=0, volume_threshold_bytes=0, tick_ns=1))
+    control = spark.createDataFrame([(IMSI, 0, "install"), (IMSI, 50, "release"), (IMSI, 70, "release"), (IMSI, 80, "install")], "imsi long, tick long, op string")
+    got = sorted((r.reason, r.seq, r.start_tick, r.end_tick, r.ul_bytes) for r in m.records(control=control).collect())
+    assert got == [("release", 0, 0, 50, 700), ("shutdown", 0, 80, 90, 9)]
+    assert [tuple(r) for r in records.unbilled(m.ticks(), control).collect()] == [(IMSI, 1, 700)]
+    again = spark.createDataFrame([(IMSI, 0, "install"), (IMSI, 50, "install")], "imsi long, tick long, op string")
+    assert [(r.seq, r.start_tick, r.ul_bytes) for r in m.records(control=again).collect()] == [(0, 0, 1409)]
+
+
+def test_numbering_is_exact_over_many_partitions(spark):
+    n = 3_000_000
+    rows = spark.range(n, numPartitions=7).select((n - F.col("id") * 7 % n).alias("imsi"), (F.col("id") * 5 + F.when(F.col("id") > n // 2, 1 << 33).otherwise(0)).alias("first_line"))
+    got = sessions.numbered(rows).agg(F.count("*").alias("n"), F.count_distinct("sub").alias("d"), F.min("sub").alias("low"), F.max("sub").alias("high")).first()
+    assert tuple(got) == (n, n, 0, n - 1)
+    want = F.when(F.col("id") > n // 2, F.col("id")).otherwise(F.col("id"))
+    place = rows.withColumn("id", F.when(F.col("first_line") >= 1 << 33, (F.col("first_line") - (1 << 33)) / 5).otherwise(F.col("first_line") / 5).cast("long"))
+    assert sessions.numbered(place).where(F.col("sub") != want).count() == 0
 
 
 def ids(m):
@@ -136,7 +164,7 @@ def test_golden_traffic(spark):
     packets = spark.createDataFrame([(i, ts, n, 1, x) for i, (ts, n, x) in enumerate(t.packets)], "pkt_no long, ts_ns long, orig_len long, link_type int, data binary")
     m = Metering(packets, table, Config(report_interval_ns=0))
     assert {r.imsi: {k: r[k] for k in ("ul_bytes", "dl_bytes", "ul_packets", "dl_packets")} for r in m.counters.collect()} == {i: e for i, e in t.expected.items() if e["ul_packets"] + e["dl_packets"]}
-    one = ingest.totals(m.frames, m.tunnels, m.events, m.segments).first()
+    one = ingest.totals(m.frames, m.segments).first()
     assert (one.gtpu_gpdus, one.gtpu_control, one.not_gtpu_port, one.diameter_messages, one.gtpu_parse_errors, one.diameter_parse_errors, one.gy_events) == (2000, 2, 100, 40, 0, 0, 40)
     assert {r.difference for r in m.crosscheck.collect()} == {0}
     found = m.records(t.packets[0][0])
@@ -162,7 +190,7 @@ def test_frames_are_charged_by_their_inner_length(spark):
     m = Metering(packets, session_table(spark, (1, 0x1111, 0x2222, 1)))
     c = m.counters.first()
     assert (c.ul_packets, c.dl_packets) == (26, 25) and c.ul_bytes == sum(128 + i for i in range(0, 50, 2)) + 3 and c.dl_bytes == sum(128 + i for i in range(1, 50, 2))
-    t = ingest.totals(m.frames, m.tunnels, m.events, m.segments).first()
+    t = ingest.totals(m.frames, m.segments).first()
     assert (t.gtpu_parse_errors, t.truncated_frames, t.not_gtpu_port, t.non_ip, t.inner_parse_errors) == (1, 1, 1, 1, 1)
     captured = Metering(packets, m.sessions, Config(meter_inner_ip_length=False)).counters.first()
     assert captured.ul_bytes == c.ul_bytes
