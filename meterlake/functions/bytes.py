@@ -13,11 +13,19 @@ def size(b: Column) -> Column:
 
 
 def uint(b: Column, offset: Column | int, width: int = 1) -> Column:
-    """The big-endian unsigned number of ``width`` bytes at ``offset``; NULL beyond the end. Check partial reads first."""
+    """The big-endian unsigned number of ``width`` bytes (7 at most) at ``offset``; NULL beyond the end. Check partial reads first.
+
+    Each read goes by way of hexadecimal text, so neighbouring fields are read as one word and taken apart by field().
+    """
     at = F.lit(offset) if isinstance(offset, int) else offset
     return F.conv(F.hex(F.substring(b, (at + 1).cast("int"), F.lit(width))), 16, 10).cast("long")
 
 
+def field(word: Column, width: int, offset: int, size_: int = 1) -> Column:
+    """Of a word of ``width`` bytes that uint() has read at once: the ``size_`` bytes at ``offset`` within it."""
+    return F.shiftright(word, 8 * (width - offset - size_)).bitwiseAND(F.lit((1 << 8 * size_) - 1))
+
+
 def part(b: Column, offset: Column | int, length: Column | int) -> Column:
     """Bytes [offset, offset + length)."""
     at, n = (F.lit(x) if isinstance(x, int) else x for x in (offset, length))

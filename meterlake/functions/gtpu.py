@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.bytes import bits, part, size, uint
+from meterlake.functions.bytes import bits, field, part, size, uint
 
 # Message types, the extension that carries the QFI, statuses.
 ECHO_REQUEST, ECHO_RESPONSE, ERROR_INDICATION, SUPPORTED_EXTENSIONS, END_MARKER, GPDU = 1, 2, 26, 31, 254, 255
@@ -56,15 +56,17 @@ def gtpu(df: DataFrame, pdu: str, prefix: str = "gtpu_") -> DataFrame:
     """
     p = lambda name: F.col(prefix + name)
     b = F.col(pdu)
-    df = df.withColumns({prefix + "n": size(b), prefix + "flags": uint(b, 0, 1), prefix + "declared": F.when(size(b) >= 8, uint(b, 2, 2))})
+    df = df.withColumns({prefix + "n": size(b), prefix + "w": F.when(size(b) >= 8, uint(b, 0, 4))})
+    df = df.withColumns({prefix + "flags": field(p("w"), 4, 0), prefix + "declared": field(p("w"), 4, 2, 2)})
     extra = bits(p("flags"), 7) != 0
     early = (
         F.when(b.isNull(), None).when(p("n") < 8, "truncated").when(F.shiftright(p("flags"), 5) != 1, "bad-version").when(bits(p("flags"), 0x10) == 0, "not-gtpu")
         .when(p("n") - 8 < p("declared"), "truncated").when(extra & (p("declared") < 4), "bad-length").otherwise("ok")
     )
-    df = df.withColumns({prefix + "early": early, prefix + "opt": F.when(extra, 4).otherwise(0)})
-    chained = (p("early") == "ok") & (bits(p("flags"), 4) != 0) & (uint(b, 11, 1) != 0)
-    df = df.withColumns({prefix + "chain": F.when(chained, _chain(part(b, 12, p("declared") - 4), p("declared") - 4, uint(b, 11, 1)))})
+    df = df.withColumns({prefix + "early": early, prefix + "opt": F.when(extra, 4).otherwise(0), prefix + "o": F.when(extra & (early == "ok"), uint(b, 8, 4))})
+    follows = field(p("o"), 4, 3)
+    chained = (p("early") == "ok") & (bits(p("flags"), 4) != 0) & (follows != 0)
+    df = df.withColumns({prefix + "chain": F.when(chained, _chain(part(b, 12, p("declared") - 4), p("declared") - 4, follows))})
     chain = p("chain")
     df = df.withColumns({prefix + "status": F.coalesce(chain["status"], p("early"))})
     ok = p("status") == "ok"
@@ -72,9 +74,9 @@ def gtpu(df: DataFrame, pdu: str, prefix: str = "gtpu_") -> DataFrame:
     seq, npdu = bits(p("flags"), 2) != 0, bits(p("flags"), 1) != 0
     df = df.withColumns({prefix + "header_len": F.when(ok, head)})
     return df.withColumns({
-        prefix + "msg_type": F.when(ok, uint(b, 1, 1)), prefix + "declared_len": F.when(ok, p("declared")), prefix + "teid": F.when(ok, uint(b, 4, 4)),
-        prefix + "seq": F.when(ok & seq, uint(b, 8, 2)), prefix + "npdu": F.when(ok & npdu, uint(b, 10, 1)), prefix + "has_seq": F.when(ok, seq), prefix + "has_npdu": F.when(ok, npdu),
+        prefix + "msg_type": F.when(ok, field(p("w"), 4, 1)), prefix + "declared_len": F.when(ok, p("declared")), prefix + "teid": F.when(ok, uint(b, 4, 4)),
+        prefix + "seq": F.when(ok & seq, field(p("o"), 4, 0, 2)), prefix + "npdu": F.when(ok & npdu, field(p("o"), 4, 2)), prefix + "has_seq": F.when(ok, seq), prefix + "has_npdu": F.when(ok, npdu),
         prefix + "has_ext": F.when(ok, chain.isNotNull()), prefix + "ext_count": F.when(ok, F.coalesce(chain["links"], F.lit(0))),
         prefix + "has_qfi": F.when(ok, F.coalesce(chain["has_qfi"], F.lit(False))), prefix + "pdu_type": F.when(ok, chain["pdu_type"]), prefix + "qfi": F.when(ok, chain["qfi"]),
         prefix + "rqi": F.when(ok, F.coalesce(chain["rqi"], F.lit(False))), prefix + "payload": F.when(ok, part(b, p("header_len"), 8 + p("declared") - p("header_len"))),
-    }).drop(*(prefix + x for x in ("n", "flags", "declared", "early", "opt", "chain")))
+    }).drop(*(prefix + x for x in ("n", "w", "o", "flags", "declared", "early", "opt", "chain")))

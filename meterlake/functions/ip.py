@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.bytes import bits, let, part, size, uint
+from meterlake.functions.bytes import bits, field, let, part, size, uint
 
 # IP protocol numbers, EtherTypes, link types.
 TCP, UDP, SCTP = 6, 17, 132
@@ -42,7 +42,8 @@ def ethernet(df: DataFrame, frame: str, prefix: str = "eth_") -> DataFrame:
     df = df.withColumns({f"{prefix}vlan_tags": tags, f"{prefix}valid": valid})
     at = 14 + 4 * F.col(f"{prefix}vlan_tags")
     ok = F.col(f"{prefix}valid")
-    return df.withColumns({f"{prefix}ethertype": F.when(ok, uint(b, at - 2, 2)), f"{prefix}payload": F.when(ok, part(b, at, n - at))}).drop(f"{prefix}t0", f"{prefix}t1")
+    kind = F.when(F.col(f"{prefix}vlan_tags") == 0, F.col(f"{prefix}t0")).otherwise(uint(b, at - 2, 2))
+    return df.withColumns({f"{prefix}ethertype": F.when(ok, kind), f"{prefix}payload": F.when(ok, part(b, at, n - at))}).drop(f"{prefix}t0", f"{prefix}t1")
 
 
 def _walk(b: Column, end: Column) -> Column:
@@ -78,26 +79,25 @@ def ip(df: DataFrame, packet: str, prefix: str) -> DataFrame:
     """
     p = lambda name: F.col(prefix + name)
     b = F.col(packet)
-    df = df.withColumns({prefix + "n": size(b), prefix + "b0": uint(b, 0, 1)})
-    n, version = p("n"), F.shiftright(p("b0"), 4)
-    ihl = bits(p("b0"), 15) * 4
-    total = uint(b, 2, 2)
+    df = df.withColumns({prefix + "n": size(b), prefix + "w": F.when(size(b) >= 20, uint(b, 0, 7)), prefix + "x": F.when(size(b) >= 20, uint(b, 7, 3))})
+    n, word = p("n"), lambda offset, width=1: field(p("w"), 7, offset, width)
+    version, ihl, total = F.shiftright(word(0), 4), bits(word(0), 15) * 4, word(2, 2)
     four = F.coalesce((n >= 20) & (version == 4) & (ihl >= 20) & (ihl <= n) & (total >= ihl), F.lit(False))
     six = F.coalesce((n >= 40) & (version == 6), F.lit(False))
     df = df.withColumns({prefix + "version": F.when(four, 4).when(six, 6)})
     is4, is6 = p("version") == 4, p("version") == 6
     df = df.withColumns({
         prefix + "valid": p("version").isNotNull(),
-        prefix + "total_len": F.when(is4, uint(b, 2, 2)).when(is6, uint(b, 4, 2) + 40),
-        prefix + "field": F.when(is4, uint(b, 6, 2)),
+        prefix + "total_len": F.when(is4, total).when(is6, word(4, 2) + 40),
+        prefix + "field": F.when(is4, F.shiftleft(word(6), 8).bitwiseOR(field(p("x"), 3, 0))),
     })
     end = F.least(p("total_len"), n)
-    df = df.withColumns({prefix + "end": end, prefix + "walk": F.when(is6, _walk(b, F.least(uint(b, 4, 2) + 40, n)))})
+    df = df.withColumns({prefix + "end": end, prefix + "walk": F.when(is6, _walk(b, F.least(word(4, 2) + 40, n)))})
     walk = p("walk")
     reached = walk["stop"].isin(0, 1)
-    header = F.when(is4, bits(p("b0"), 15) * 4).when(is6, F.when(walk["stop"] == 2, F.lit(40)).otherwise(walk["off"]))
+    header = F.when(is4, ihl).when(is6, F.when(walk["stop"] == 2, F.lit(40)).otherwise(walk["off"]))
     df = df.withColumns({
-        prefix + "proto": F.when(is4, uint(b, 9, 1)).when(is6, walk["next"]),
+        prefix + "proto": F.when(is4, field(p("x"), 3, 2)).when(is6, walk["next"]),
         prefix + "fragmented": F.when(is4, bits(p("field"), 0x3FFF) != 0).when(is6, walk["frag"]),
         prefix + "src": F.when(is4, part(b, 12, 4)).when(is6, part(b, 8, 16)),
         prefix + "dst": F.when(is4, part(b, 16, 4)).when(is6, part(b, 24, 16)),
@@ -107,17 +107,18 @@ def ip(df: DataFrame, packet: str, prefix: str) -> DataFrame:
     room = p("end") - p("header_len")
     least = F.when(p("proto") == UDP, 8).when(p("proto") == TCP, 20).when(p("proto") == SCTP, 12)
     ports = F.coalesce(p("has_l4") & (room >= least), F.lit(False))
-    df = df.withColumns({prefix + "ports_valid": ports})
-    ports, at = p("ports_valid"), p("header_len")
+    at = p("header_len")
+    df = df.withColumns({prefix + "ports_valid": ports, prefix + "ports": F.when(ports, uint(b, at, 4))})
+    ports = p("ports_valid")
     df = df.withColumns({
-        prefix + "src_port": F.when(ports, uint(b, at, 2)),
-        prefix + "dst_port": F.when(ports, uint(b, at + 2, 2)),
+        prefix + "src_port": field(p("ports"), 4, 0, 2),
+        prefix + "dst_port": field(p("ports"), 4, 2, 2),
         prefix + "l4": F.when(ports, F.when(p("proto") == TCP, F.shiftright(uint(b, at + 12, 1), 4) * 4).otherwise(least)),
     })
     whole = ports & (p("l4") >= least) & (p("l4") <= room)
     payload = F.when(whole, part(b, at + p("l4"), room - p("l4")))
     df = df.withColumns({prefix + "payload": payload})
-    return df.drop(*(prefix + x for x in ("n", "b0", "field", "end", "walk", "has_l4", "l4")))
+    return df.drop(*(prefix + x for x in ("n", "w", "x", "field", "end", "walk", "ports", "has_l4", "l4")))
 
 
 def format_ip(address: Column) -> Column:
@@ -130,11 +131,12 @@ def format_ip(address: Column) -> Column:
 def flow_key(src: Column, dst: Column, src_port: Column, dst_port: Column, proto: Column, version: Column) -> Column:
     """FNV-1a over the tuple's bytes, as the bit pattern of a signed long.
 
+    The start value is a fixed value that keys have to agree on; it isn't the usual basis of FNV-1a.
     64-bit products would overflow, so the hash is held as two 32-bit limbs; the prime is 2^40 + 435.
     """
     port = lambda c: F.unhex(F.lpad(F.hex(F.coalesce(c, F.lit(0)).cast("long")), 4, "0"))
     byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
-    start = 1469598103934665603
+    start = 1469598103934665603  # Fixed value
 
     def limbs(hi, lo):
         return F.struct(hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))

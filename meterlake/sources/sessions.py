@@ -6,12 +6,14 @@ decimal or 0x hexadecimal; a rating group that can't be read is 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.formats import unsigned
 from meterlake.operators.sessions import MAX_TEID
 
+#: No block of a file has so many lines.
+BLOCK_LINES = 1 << 33
 HEADER = "imsi,ul_teid,dl_teid,rating_group,msisdn,apn"
 
 
@@ -29,8 +31,14 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value); numbers rise within a file, and files follow one another as Spark reads them."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """(line_no, value); numbers rise within a file, and files follow one another by name, however Spark packs its tasks.
+
+    A block of a file is read from its start by one task, so its rows' ids rise; blocks are ranked by file and place.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    block = ["_path", "_start"]
+    ranked = rows.groupBy(*block).agg(F.min("_id").alias("_least")).withColumn("_block", F.row_number().over(Window.orderBy(*block)) - 1)  # a row a block
+    return rows.join(ranked, block).select((F.col("_block").cast("long") * BLOCK_LINES + F.col("_id") - F.col("_least")).alias("line_no"), "value")
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:

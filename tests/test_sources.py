@@ -43,6 +43,46 @@ def test_data_source_and_loader(spark, tmp_path):
         pcap.replayed(a.limit(0), 2)
 
 
+def test_overwriting_and_counting_what_is_cut(spark, tmp_path):
+    pcap.register(spark)
+    df = spark.createDataFrame([(i, *r[:2], 1, r[2]) for i, r in enumerate(rows())], pcap.SCHEMA)
+    for _ in range(2):
+        df.coalesce(1).write.format("pcap").mode("overwrite").save(str(tmp_path / "out"))
+    assert spark.read.format("pcap").load(str(tmp_path / "out")).count() == 3
+    (tmp_path / "a.pcap").write_bytes(pcap.write_capture(rows()))
+    (tmp_path / "b.pcap").write_bytes(pcap.write_capture(rows())[:-3])
+    assert sorted((r.path[-6:], r.packets, r.malformed_records) for r in pcap.checked(spark, f"{tmp_path}/*.pcap").collect()) == [("a.pcap", 3, 0), ("b.pcap", 2, 1)]
+    for x in (0, -1):
+        with pytest.raises(ValueError):
+            pcap.replayed(df, x)
+
+
+def test_stream_of_captures_reads_each_file_once(spark, tmp_path):
+    """Files land one after another, the later one under a smaller name; a restart goes on behind the last one."""
+    pcap.register(spark)
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def land(name, n):
+        (tmp_path / name).write_bytes(pcap.write_capture(rows(n)))
+        (tmp_path / name).rename(source / name)
+
+    def run():
+        stream = spark.readStream.format("pcap").option("maxFilesPerTrigger", 1).load(str(source))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+
+    land("m.pcap", 3)
+    land("n.pcap", 2)
+    run()
+    assert spark.read.parquet(out).count() == 5
+    land("a.pcap", 4)
+    run()
+    got = spark.read.parquet(out)
+    assert got.count() == 9 and sorted((r.k, r.n) for r in got.groupBy((F.col("pkt_no") / pcap.PER_FILE).cast("long").alias("k")).agg(F.count("*").alias("n")).collect()) == [(0, 3), (1, 2), (2, 4)]
+
+
 TEXT = """# comment
 imsi,ul_teid,dl_teid,rating_group,msisdn,apn
 310150000000001,100,200,10,15551234567,internet
@@ -94,3 +134,17 @@ def test_records_round_trip(spark, tmp_path):
 
 def test_checksum():
     assert synth.checksum(synth.ipv4(b"")[:20]) == 0
+
+
+def test_sessions_of_several_files_follow_their_names(spark, tmp_path):
+    """The last install of a TEID holds, by file name and line, whatever the files' sizes."""
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for k, n in enumerate((5, 400, 60)):
+            (tmp_path / f"s{k}.csv").write_text("".join(f"{10_000 * k + i + 1},{100 + i},{5000 + i},{k}\n" for i in range(n)))
+        got = sessions.read_sessions(spark, str(tmp_path))
+        assert [r.imsi for r in got.orderBy("line_no").collect()] == [10_000 * k + i + 1 for k, n in enumerate((5, 400, 60)) for i in range(n)]
+        assert {r.imsi for r in ops.bindings(got).where("teid < 160 and teid >= 100").collect()} == {20_001 + i for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
