@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rounds of star contraction after which a graph counts as broken input; a graph of n nodes needs about log2(n)^2.
 MAX_ROUNDS = 200
+#: Longs of 64 bits in a filter of fixed size that is broadcast: at most so many rows.
+FILTER_LONGS = 1 << 16
 
 
 def shield(docs: DataFrame, *used: str) -> DataFrame:
@@ -24,25 +26,46 @@ def unshield(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in local mode, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="meterlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors.
-
-    What the table was made from is garbage by then, but Spark removes shuffle files only when the driver has
-    collected its own; so that disks don't fill with the shuffles of steps long past, it is asked to.
-    """
+    """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def swept(df: DataFrame) -> DataFrame:
+    """``df``, after a collection of the driver's garbage: Spark removes shuffle files only when it has been made.
+
+    For a step that is done with a large shuffle; on a driver that stays idle nothing else would free the disks.
+    """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df
+
+
+def told(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``_may``: whether a row's ``columns`` may be among those of ``keys``, by a filter of fixed size, broadcast."""
+    hashed = F.xxhash64(*columns)
+    word = F.pmod(F.shiftright(hashed, 6), F.lit(FILTER_LONGS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(F.lit(63)).cast("int"))
+    mask = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    found = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(mask), "_word", "left")
+    return found.withColumn("_may", F.coalesce(F.col("_mask").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_mask")
+
+
+def masked(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose ``columns`` may be among those of ``keys``."""
+    return told(df, keys, *columns).where("_may").drop("_may")
 
 
 def doc_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:

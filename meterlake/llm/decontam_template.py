@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import cut, doc_keys, shield, unshield
+from meterlake.llm.common import cut, doc_keys, shield, told, unshield
 
 # Units that may follow a number.
 UNITS = frozenset(
@@ -236,5 +236,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
     """The rows of ``docs`` without contaminated documents."""
     own = shield(docs, "doc_id", "text")
     keyed = own.select("*", *doc_keys(own))
-    bad = matches(keyed, benchmark, coverage).select("_key_id", "_key_text").distinct()
-    return unshield(keyed.join(bad, ["_key_id", "_key_text"], "left_anti"), docs, "doc_id", "text")
+    bad = cut(matches(keyed, benchmark, coverage).select("_key_id", "_key_text").distinct(), "template-bad")
+    split = told(keyed, bad, "_key_id", "_key_text")  # only texts that may be bad are shuffled
+    doubtful = split.where("_may").drop("_may").join(bad, ["_key_id", "_key_text"], "left_anti")
+    return unshield(split.where("not _may").drop("_may").unionByName(doubtful), docs, "doc_id", "text")

@@ -1,12 +1,13 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are 64 bits over 3-word shingles. Equal fingerprints are grouped first; distinct ones are joined at
-``errors`` differing bits or fewer. Of ``blocks`` bit blocks at least ``blocks - errors`` agree between two such
-fingerprints, so each fingerprint goes to one trie for each choice of that many blocks, keyed by their bits: every
-link meets in some trie, and tries stay small (a key of 32 bits of 64 by default). A task walks pairs of trie
-nodes together from the roots down: it adds the bits in which the nodes' paths differ and drops a pair once
-more than ``errors`` differ, or once both nodes lie in one group already. Each task keeps a spanning forest of what
-it linked; components() joins the forests of all tasks.
+``errors`` differing bits or fewer. Of ``errors`` + 1 blocks of bits one at least agrees between two such fingerprints,
+so each goes to one trie for each block, keyed by the block's bits: every link meets in some trie. A trie of more than
+HOT fingerprints is split by the same rule: its fingerprints, which agree in the key's bits, go to a smaller trie for
+each of ``errors`` + 1 blocks of the other bits. A task walks pairs of trie nodes together from the roots down: it
+adds the bits in which the nodes' paths differ and drops a pair once more than ``errors`` differ, or once both nodes
+lie in one group already; only two single fingerprints are compared by the rest of their paths. Each task keeps a
+spanning forest of what it linked; components() joins the forests of all tasks.
 
 Cases: a null or empty text, or one of white space alone, has fingerprint zero and links like any other; texts of
 one or two words are one shingle; repeated rows share their fingerprint; a null doc_id takes part in groups and is
@@ -16,17 +17,17 @@ columns are ignored by fingerprints() and kept by one_of_each().
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import components, cut, doc_keys, shield, unshield
+from meterlake.llm.common import components, cut, doc_keys, shield, told, unshield
 
 SEED = 42
+#: Fingerprints of a trie that one task walks; how often larger ones are split.
+HOT, SPLITS = 1 << 18, 4
 
 
 def fingerprint(text: str | None) -> int:
@@ -105,7 +106,7 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, errors:
         # both nodes within one group: nothing new below
         open_ = ~((up[a0] == up[b0]) & (steps[a0] == steps[a1 - 1]) & (steps[b0] == steps[b1 - 1]))
         a0, a1, b0, b1, err = (x[open_] for x in (a0, a1, b0, b1, err))
-        few = ((a1 - a0) * (b1 - b0) <= 16) | (depth > 63)
+        few = (a1 - a0) * (b1 - b0) == 1  # two leaves: what is left of their paths
         if few.any():
             p0, p1, q0, q1 = (x[few] for x in (a0, a1, b0, b1))
             size = (p1 - p0) * (q1 - q0)
@@ -134,12 +135,42 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, errors:
     return forest.links
 
 
-def near_links(distinct: DataFrame, errors: int = 3, blocks: int = 6) -> DataFrame:
+def block_masks(bits: list[int], errors: int) -> list[int]:
+    """``bits`` as errors + 1 masks of neighbouring ones."""
+    edge = [round(len(bits) * i / (errors + 1)) for i in range(errors + 2)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(edge, edge[1:])]
+
+
+def tries(distinct: DataFrame, errors: int) -> DataFrame:
+    """Rows (trie, key, fp): the tries that each fingerprint is in."""
+    long_ = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    masks = block_masks(list(range(64)), errors)
+    here = lambda found: F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), F.col("fp").bitwiseAND(long_(m)).alias("key")) for t, m in found))).alias("k")
+    rows, done = distinct.select("fp", here(list(enumerate(masks)))).select("k.*", "fp"), None
+    for level in range(SPLITS):
+        rows = cut(rows, "simhash-tries")
+        hot = rows.groupBy("trie", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("trie", "key")
+        if hot.isEmpty():
+            break
+        hot = cut(hot, "simhash-hot")
+        cold = rows.join(hot, ["trie", "key"], "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        finer = []  # of each trie's bits that its key doesn't hold: blocks again
+        for m in masks:
+            rest = [b for b in range(64) if not m >> b & 1]
+            finer.append([m | x for x in block_masks(rest, errors)])
+        apart = F.lit(None)
+        first, next_ = level * 10_000, (level + 1) * 10_000  # tries of two levels have different numbers
+        for t, some in enumerate(finer):
+            new = F.array(*(F.struct(F.lit(next_ + t * (errors + 1) + i).alias("trie"), F.col("fp").bitwiseAND(long_(m)).alias("key")) for i, m in enumerate(some)))
+            apart = F.when(F.col("trie") == first + t, new).otherwise(apart)
+        rows = rows.join(hot, ["trie", "key"], "left_semi").select("fp", F.explode(apart).alias("k")).select("k.*", "fp")
+        masks = [m for some in finer for m in some]
+    return rows if done is None else done.unionByName(rows)
+
+
+def near_links(distinct: DataFrame, errors: int = 3) -> DataFrame:
     """Links (u, v) between the distinct fingerprints in column fp: as a forest that joins all within ``errors`` bits."""
-    edge = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << (edge[b + 1] - edge[b])) - 1) << edge[b] for b in chosen) for chosen in combinations(range(blocks), blocks - errors)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    spread = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)))).alias("k")).select("k.trie", "k.key", "fp")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def link(trie, key, fp):
@@ -160,42 +191,49 @@ def near_links(distinct: DataFrame, errors: int = 3, blocks: int = 6) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(found[links[:, 0]]), pa.array(found[links[:, 1]])], schema=schema)
 
     def run(batches):
-        held: list = []
+        held: list = []  # pieces; the last trie in them may go on
         rows = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            trie, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = np.flatnonzero((trie != trie[-1]) | (key != key[-1]))  # the last trie may go on
-            end = end[-1] + 1 if len(end) else 0
-            if end and (out := link(trie[:end], key[:end], fp[:end])) is not None:
-                yield out
-            held, rows = [[trie[end:], key[end:], fp[end:]]], len(fp) - end
+            trie, key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if rows + len(fp) >= 200_000:
+                other = np.flatnonzero((trie != trie[-1]) | (key != key[-1]))
+                end = other[-1] + 1 if len(other) else 0
+                if not end and held and (held[-1][0][-1] != trie[-1] or held[-1][1][-1] != key[-1]):
+                    whole = held  # the batch is one new trie
+                elif end:
+                    whole = [*held, (trie[:end], key[:end], fp[:end])]
+                else:
+                    whole = None
+                if whole:
+                    if (out := link(*(np.concatenate(x) for x in zip(*whole, strict=True)))) is not None:
+                        yield out
+                    held, rows, trie, key, fp = [], 0, trie[end:], key[end:], fp[end:]
+            held.append((trie, key, fp))
+            rows += len(fp)
         if rows and (out := link(*(np.concatenate(x) for x in zip(*held, strict=True)))) is not None:
             yield out
 
+    spread = tries(distinct, errors)
     return spread.repartition("trie", "key").sortWithinPartitions("trie", "key", "fp").mapInArrow(run, "u long, v long")
 
 
-def groups(marked: DataFrame, errors: int = 3, blocks: int = 6) -> DataFrame:
+def groups(marked: DataFrame, errors: int = 3) -> DataFrame:
     """Of rows with (doc_id, fp): rows (fp, component_id), one a distinct fingerprint."""
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes.select("fp"), errors, blocks), "simhash-links").withColumnRenamed("u", "fp")
+    roots = components(near_links(nodes.select("fp"), errors), "simhash-links").withColumnRenamed("u", "fp")
     rooted = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, errors: int = 3, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, errors: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one an input row."""
     marked = cut(fingerprints(docs), "simhash")
-    found = groups(marked, errors, blocks)
+    found = groups(marked, errors)
     return marked.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, errors: int = 3, blocks: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, errors: int = 3) -> DataFrame:
     """The rows of ``docs`` without the later members of each group; the smallest doc_id stays.
 
     Repeated rows of that doc_id are one document and stay once; a group without any doc_id keeps one row.
@@ -203,8 +241,13 @@ def one_of_each(docs: DataFrame, errors: int = 3, blocks: int = 6) -> DataFrame:
     own = shield(docs, "doc_id", "text")
     keyed = own.select("*", *doc_keys(own))
     marked = cut(fingerprints(keyed, "_key_id", "_key_text"), "simhash")
-    found = groups(marked, errors, blocks)
+    found = groups(marked, errors)
     kept = marked.join(found, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(F.struct("_key_id", "_key_text")).alias("k"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("_key_id", "_key_text"))).alias("named"))
     kept = kept.select(F.coalesce("named", "k").alias("k")).select("k.*")
-    stays = keyed.join(kept, ["_key_id", "_key_text"], "left_semi")
-    return unshield(stays.dropDuplicates(["_key_id", "_key_text"]), docs, "doc_id", "text")
+    kept = cut(kept, "simhash-kept")
+    same = ["_key_id", "_key_text"]
+    # only texts that may go, or that are repeated, are shuffled
+    doubtful = marked.groupBy(*same).agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), same, "left").where("n > 1 or kept is null").select(*same)
+    split = told(keyed, doubtful, *same)
+    checked = split.where("_may").drop("_may").join(kept, same, "left_semi").dropDuplicates(same)
+    return unshield(split.where("not _may").drop("_may").unionByName(checked), docs, "doc_id", "text")

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from helpers import docs, sample
 
+from meterlake.llm import simhash_trie
 from meterlake.llm.simhash_trie import fingerprint, near_duplicates, near_links, one_of_each, trie_links
 
 
@@ -85,6 +86,41 @@ def test_links_among_clustered_fingerprints(spark):
     assert {i: root(i) for i in up} == want
 
 
+def test_large_tries_are_split(spark, monkeypatch):
+    """All fingerprints agree in a block of 16 bits, many in two: the same links from tries of a few fingerprints."""
+    monkeypatch.setattr(simhash_trie, "HOT", 20)
+    rng = random.Random(9)
+    fps = set()
+    for _ in range(40):
+        x = rng.getrandbits(48)
+        fps |= {x ^ sum(1 << b for b in rng.sample(range(48), rng.randint(0, 3))) for _ in range(12)}
+    fps |= {rng.getrandbits(24) for _ in range(60)}
+    fps = sorted(fps)
+    links = near_links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    at = {f: i for i, f in enumerate(fps)}
+    up = list(range(len(fps)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in links:
+        assert (r.u ^ r.v).bit_count() <= 3
+        a, b = root(at[r.u]), root(at[r.v])
+        up[max(a, b)] = min(a, b)
+    assert {i: root(i) for i in range(len(fps))} == plain_components(dict(enumerate(fps)))
+
+
+def test_clashing_columns_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    long_ = " ".join(f"w{k}" for k in range(200_000))
+    clash = docs(spark, [(1, "a b c d"), (2, "a b c d"), (3, long_), (4, long_)]).withColumns({c: F.lit(9) for c in ("fp", "root", "trie", "key", "_may", "_key_id", "component_id")})
+    got = one_of_each(clash)
+    assert got.columns == clash.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_trie_alone():
     rng = np.random.default_rng(5)
     values = np.unique(rng.integers(0, 1 << 20, 3000).astype(np.uint64))
