@@ -102,3 +102,29 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             raise RuntimeError("components did not settle")
     found = edges.select("u", F.col("v").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("u"), "root").distinct())
+
+
+#: Rows of a bucket that one task holds against one another: of those outside its largest group, and of all.
+CHUNK_FEW, CHUNK_ALL = 256, 4096
+
+
+def still_apart(held: DataFrame, roots: DataFrame, columns: list[str], near: str, label: str) -> DataFrame:
+    """Pairs of rows that share a bucket of ``held`` (key, node, columns), fulfil ``near``, and are in different groups.
+
+    roots: components() so far. near: SQL over the columns with a_ and b_ before their names. Rows outside a bucket's
+    largest group meet all of its rows, in chunks that are dealt to tasks of their own: neither a bucket full of copies
+    nor a large bucket makes all its pairs in one task. Returns (u, v), u < v.
+    """
+    named = held.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("groups"), F.sum("size").alias("all"), F.max("size").alias("size"))
+    few, chunks = F.ceil((F.col("all") - F.col("size")) / CHUNK_FEW).cast("int"), F.ceil(F.col("all") / CHUNK_ALL).cast("int")
+    most = most.where("groups > 1").select("key", "most", few.alias("few"), chunks.alias("chunks"))
+    rest = cut(named.join(most, "key").select("key", "node", *columns, "root", "most", "few", "chunks"), f"{label}-rest")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["node", "root", *columns]
+    a = rest.where("root <> most").withColumn("i", deal("few")).select("*", upto("chunks").alias("k")).select("key", "i", "k", *(F.col(c).alias(f"a_{c}") for c in own))
+    b = rest.withColumn("k", deal("chunks")).select("*", upto("few").alias("i")).select("key", "i", "k", *(F.col(c).alias(f"b_{c}") for c in own))
+    met = a.join(b, ["key", "i", "k"]).where(f"a_root <> b_root and {near}")
+    return met.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()

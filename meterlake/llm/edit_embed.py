@@ -7,12 +7,13 @@ samples that string at shared places: 64 in each of the ranges [0, 64), [64, 128
 digit (four bits of the character's hash) for each; places behind the walk's end are ".". likeness() weighs each place
 by the length of the range it stands for, which estimates the share of places at which the embeddings agree.
 
-near_duplicates() puts documents that agree in a band of eight samples into a bucket, holds each against the
-bucket's smallest document and then those still apart against each other, and keeps what is like enough. Texts too
-short for a band meet by pieces of their few samples. op8's query gives fingerprints and likeness only.
+near_duplicates() samples bands of eight places within each of a fingerprint's three last ranges, which stand for
+seven eighths of the text. Documents that agree in a band share a bucket; each is held against the bucket's smallest
+node and then, in chunks, against those still in another class, and what is like enough is linked. Texts too short
+for a band meet by pieces of their few samples. op8's query gives each document's class as well.
 
 edited_and_next() compares each text with an edited one and with the next document's. Rows are dealt by ranges of
-doc_id, so each task finds the next text within its own rows; only the first and the last row of each task are
+doc_id (and of the texts' hashes, so that one id may go to several tasks), so each task finds the next text within its own rows; only the first and the last row of each task are
 joined across tasks.
 
 Cases: a null text is empty; the fingerprint of an empty text is empty, like another empty one (1) and unlike all else
@@ -27,11 +28,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import components, cut
+from meterlake.llm.common import components, cut, masked, still_apart, swept
 
 SAMPLES, FIRST, PERIOD, CLASSES = 64, 64, 1024, 256
 BAND = 8
@@ -126,7 +127,7 @@ COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_finger
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one an input row."""
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ddl = f"part int, role int, text string, doc_id long, {COLUMNS}"  # role 0: a result, 1: a task's first row, 2: its last
     names = [f.name for f in T.StructType.fromDDL(ddl)]
     schema = pa.schema([("part", pa.int32()), ("role", pa.int32()), ("text", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), *((k, pa.string()) for k in names[5:8]), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -183,24 +184,62 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _bands() -> list[list[int]]:
+    """The places within a range's samples of each of its bands, dealt at random."""
+    order = np.random.default_rng(55).permutation(SAMPLES)
+    return [sorted(order[i : i + BAND].tolist()) for i in range(0, SAMPLES, BAND)]
+
+
+def bands_of(nodes: DataFrame) -> DataFrame:
+    """Of rows (node, fingerprint): rows (key, node), one a band; bands that reach behind the text's end are left out."""
+    last = F.length("fingerprint") / SAMPLES
+    levels = nodes.select("node", "fingerprint", F.explode(F.sequence(F.greatest(last - 3, F.lit(0)).cast("int"), F.greatest(last - 1, F.lit(0)).cast("int"))).alias("level"))
+    levels = levels.select("node", "level", F.substring("fingerprint", F.col("level") * SAMPLES + 1, F.lit(SAMPLES)).alias("own"))
+    # of the first range neighbours go together, so that short texts fill a band
+    spread = lambda band: F.concat(*(F.substring("own", p + 1, 1) for p in band))
+    first = F.array(*(F.substring("own", i + 1, BAND) for i in range(0, SAMPLES, BAND)))
+    texts = F.when(F.col("level") == 0, first).otherwise(F.array(*map(spread, _bands())))
+    each = levels.select("node", "level", F.posexplode(texts).alias("band", "own")).where(f"length(own) = {BAND} and not contains(own, '.')")
+    return each.select(F.xxhash64("level", "band", "own").alias("key"), "node")
+
+
+def node_of() -> Column:
+    return F.xxhash64("fingerprint").alias("node")
+
+
 def near_duplicates(marked: DataFrame, least: float = 0.8) -> DataFrame:
-    """Of rows (doc_id, fingerprint): rows (doc_id, class_id), the smallest doc_id of those joined to it.
+    """Of rows (doc_id, fingerprint): rows (doc_id, class_id), one a row; the smallest doc_id of those joined to it."""
+    return marked.select("doc_id", node_of()).join(near_classes(marked, least), "node").select("doc_id", "class_id")
+
+
+def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
+    """Of rows (doc_id, fingerprint): rows (node, class_id), one a distinct fingerprint.
 
-    Equal fingerprints are one node. In each bucket (a band of samples that agrees) every node is held against the
-    bucket's smallest, which is linear in the bucket, then against those that are still in another class, and linked
-    where likeness() is ``least`` or more.
+    Equal fingerprints are one node, known by their hash, so that rows without doc_id take part; a class of such rows
+    alone has a null class_id. Every bucket's nodes are held against its smallest one, which is linear, then those
+    that are still in different classes against each other; what likeness() says is ``least`` or more is linked.
     """
-    nodes = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "edit-nodes")
-    bands = nodes.select("node", "fingerprint", F.explode(F.sequence(F.lit(0), F.greatest(F.length("fingerprint") / BAND - 1, F.lit(0)).cast("int"))).alias("band"))
-    bands = bands.select("node", "fingerprint", "band", F.substring("fingerprint", F.col("band") * BAND + 1, F.lit(BAND)).alias("key")).where("not contains(key, '.')")
+    nodes = cut(marked.groupBy(node_of(), "fingerprint").agg(F.min("doc_id").alias("least")), "edit-nodes", "gzip")
     # a text of under eight samples is like others of few samples only: they differ in fewer samples than there are pieces
     few = int((BAND - 1) / least + 1e-9)
     cuts = np.linspace(0, few, min(few, int((1 - least) * few + 1e-9) + 1) + 1).astype(int).tolist()
-    pieces = F.array(*(F.struct(F.lit(-1 - i).alias("band"), F.substring("fingerprint", a + 1, b - a).alias("key")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-    short = nodes.where(F.substring("fingerprint", few + 1, 1).isin("", ".")).select("node", "fingerprint", F.explode(pieces).alias("p")).select("node", "fingerprint", "p.*")
-    bands = cut(bands.unionByName(short), "edit-bands")
-    heads = bands.groupBy("band", "key").agg(F.min(F.struct("node", "fingerprint")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(heads, ["band", "key"]).where("node <> head.node").groupBy(F.col("node").alias("u"), F.col("head.node").alias("v")).agg(F.first("fingerprint").alias("a"), F.first("head.fingerprint").alias("b"))
+    pieces = F.array(*(F.xxhash64(F.lit(-1 - i), F.substring("fingerprint", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    short = nodes.where(F.substring("fingerprint", few + 1, 1).isin("", ".")).select(F.explode(pieces).alias("key"), "node")
+    spread = bands_of(nodes).unionByName(short)
+    many = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "edit-keys")
+    # the walk's length, from the samples that it reaches: texts are like only if the shorter one's is ``least`` of it
+    top = F.greatest(F.ceil(F.length("fingerprint") / SAMPLES) - 1, F.lit(0))
+    reach = (F.length(F.regexp_replace("fingerprint", "[.]", "")) - top * SAMPLES) / SAMPLES
+    size = F.when(top == 0, FIRST * reach).otherwise(F.pow(F.lit(2.0), top - 1) * FIRST * (1 + reach)).alias("size")
+    sized = nodes.select("node", size)
+    held = cut(masked(spread, many, "key").join(many, "key").join(sized, "node"), "edit-buckets")
+    close = lambda x, y: f"least({x}, {y}) >= {least - 0.1!r} * greatest({x}, {y}) - 16"  # noqa: E731  the length is an estimate
+    first = held.where("node <> head").join(sized.select(F.col("node").alias("head"), F.col("size").alias("head_size")), "head").where(close("size", "head_size"))
+    first = first.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+
+    def linked(pairs):
+        side = lambda u, a: nodes.select(F.col("node").alias(u), F.col("fingerprint").alias(a))
+        return cut(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(like, "u long, v long"), "edit-links")
 
     def like(batches):
         for batch in batches:
@@ -208,13 +247,16 @@ def near_duplicates(marked: DataFrame, least: float = 0.8) -> DataFrame:
             keep = [i for i in range(len(u)) if likeness(a[i], b[i]) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
 
-    roots = components(pairs.mapInArrow(like, "u long, v long"), "edit-links")
-    # who is still apart in a bucket of three or more
-    label = nodes.select("node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = cut(bands.join(heads.where("n > 2").select("band", "key"), ["band", "key"]).join(label, "node"), "edit-rest")
-    other = rest.select("band", "key", F.col("node").alias("v"), F.col("fingerprint").alias("b"), F.col("root").alias("other_root"))
-    apart = rest.join(other, ["band", "key"]).where("node < v and root <> other_root").groupBy(F.col("node").alias("u"), "v").agg(F.first("fingerprint").alias("a"), F.first("b").alias("b"))
-    links = roots.select("u", F.col("root").alias("v")).unionByName(apart.mapInArrow(like, "u long, v long"))
-    roots = components(links, "edit-links").withColumnRenamed("u", "node")
-    labelled = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
-    return marked.join(labelled, "fingerprint").select("doc_id", "class_id")
+    roots = components(linked(first), "edit-components")
+    more = linked(still_apart(held.where("n > 2").select("key", "node", "size"), roots, ["size"], close("a_size", "b_size"), "edit"))
+    if not more.isEmpty():
+        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
+    rooted = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    return cut(rooted.join(named, "root").select("node", "class_id"), "edit-classes")
+
+
+def report(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """edited_and_next() with one more column, class_id: the class of the row's fingerprint, see near_classes()."""
+    rows = swept(cut(edited_and_next(docs), "edit-rows", "gzip"))
+    return rows.withColumn("node", F.xxhash64("fingerprint")).join(near_classes(rows, least), "node").drop("node")

@@ -46,7 +46,7 @@ def op7_quality_cnn(spark, sf_dir):
 
 
 def op8_edit_embed(spark, sf_dir):
-    return edit_embed.edited_and_next(table(spark, sf_dir, "documents"))
+    return edit_embed.report(table(spark, sf_dir, "documents"))
 
 
 def op9_toxic_ftrl(spark, sf_dir):
