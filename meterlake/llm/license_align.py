@@ -5,12 +5,15 @@ increasing subsequence of their places is kept, and the gaps between anchors are
 has no such word, equal words at its ends are matched. Coverage is the share of the template's words that are
 matched; a template is reported where a stretch of the text covers at least ``coverage`` of it.
 
-A template that occurs twice has no unique words in the whole text, so the text is cut into windows around its rarest
-words. If the stretch covers 0.8 of the words, at least one of any fifth-and-one of them is in it, so windows around
-that many of the rarest miss nothing.
-
-One pass over the texts, no shuffle. Cases: a null or empty text holds no license; texts are read whole; repeated rows
-are scanned as often as they occur; an empty table gives an empty result; other columns are ignored.
+A license is a stretch of the text of at most ``spread`` words for each of the template's (so up to that many less one
+may stand between any two on average) that covers enough of the template. All stretches that don't overlap are
+reported: the best first, then what lies before and behind it. A template that occurs twice has no unique words in the
+whole text, so the text is cut into windows around its rarest words. If the stretch covers 0.8 of the words, at least
+one of any fifth-and-one of them is in it, so windows around that many of the rarest miss nothing.
+
+One pass over the texts, no shuffle. Cases: a null or empty text holds no license; texts are read whole; of equal
+coverage the shorter stretch counts, then the earlier one; repeated rows are scanned as often as they occur; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +54,27 @@ TEMPLATES = {
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
         "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/."
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "gpl-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version."
@@ -108,12 +132,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage, self.templates = coverage, [(name, words(x)) for name, x in templates.items() if words(x)]
-        self.vocabulary = {w for _, x in self.templates for w in x}
+    def __init__(self, templates: dict[str, str], coverage: float, spread: int = 5):
+        self.coverage, self.spread, self.templates = coverage, spread, [(name, words(x), Counter(words(x))) for name, x in templates.items() if words(x)]
+        self.vocabulary = {w for _, x, _ in self.templates for w in x}
 
     def find(self, text: str) -> list[tuple[float, str, int, int]]:
-        """(coverage, template, first word, behind the last) of each template's best stretch, where it is enough."""
+        """(coverage, template, first word, behind the last) of each template's stretches, the best first."""
         own = words(text)
         at: dict[str, list[int]] = {w: [] for w in self.vocabulary.intersection(own)}
         if not at:
@@ -122,52 +146,71 @@ class Scanner:
             if w in at:
                 at[w].append(i)
         out = []
-        for name, template in self.templates:
-            if sum(w in at for w in template) < self.coverage * len(template):
+        for name, template, counts in self.templates:
+            if sum(n for w, n in counts.items() if w in at) < self.coverage * len(template):
                 continue
-            kinds = set(template)
-            rare = sorted((w for w in kinds if w in at), key=lambda w: (len(at[w]), w))[: math.floor((1 - self.coverage) * len(template)) + 1]
-            # a stretch with as many words again between as the template has
-            reach, windows = 2 * len(template), []
+            rare = sorted((w for w in counts if w in at), key=lambda w: (len(at[w]), w))[: math.floor((1 - self.coverage) * len(template)) + 1]
+            reach, windows = self.spread * len(template), []
             for p in sorted(p for w in rare for p in at[w]):
-                low, high = max(0, p - reach), p + reach + 1
-                if windows and low <= windows[-1][1] - reach:  # grows while the seeds are close
+                low, high = max(0, p - reach), min(len(own), p + reach + 1)
+                if windows and low <= windows[-1][1]:  # windows that touch are one
                     windows[-1][1] = high
                 else:
                     windows.append([low, high])
-            best = None
-            for low, high in windows:
-                part = own[low:high]
-                if sum((Counter(template) & Counter(part)).values()) < self.coverage * len(template):
-                    continue
-                for start in self.starts(part, template, rare):
-                    piece = part[start : start + reach]
-                    pairs = align(template, piece)
-                    share = len(pairs) / len(template)
-                    if pairs and share >= self.coverage and (best is None or share > best[0]):
-                        best = (share, name, low + start + pairs[0][1], low + start + pairs[-1][1] + 1)
-                    if best and best[0] == 1:
-                        break
-                if best and best[0] == 1:
-                    break
-            if best:
-                out.append(best)
-        return sorted(out, key=lambda x: (-x[0], x[3] - x[2], x[1]))
+            while windows:
+                low, high = windows.pop()
+                picked = self.stretches(own, low, high, template, counts, rare)
+                out += [(share, name, a, b) for share, a, b in picked]
+                if picked:  # what crossed one of them may still lie before, between or behind them
+                    windows += [[a, b] for a, b in zip([low, *(x[2] for x in picked)], [*(x[1] for x in picked), high])]
+        return sorted(out, key=lambda x: (-x[0], x[3] - x[2], x[1], x[2]))
+
+    def stretches(self, own: list[str], low: int, high: int, template: list[str], counts: Counter, rare: list[str]) -> list[tuple[float, int, int]]:
+        """(coverage, first word, behind the last) of stretches of own[low:high] that cover enough, apart, in their order."""
+        need, reach = self.coverage * len(template), self.spread * len(template)
+        if sum(min(n, m) for w, m in Counter(own[low:high]).items() if (n := counts.get(w))) < need:
+            return []
+        part, found, seen = own[low:high], set(), Counter()
+        # how many of the template's words each stretch of the longest length holds
+        enough, held = [False] * len(part), 0
+        for i in range(len(part) + reach):
+            if i < len(part) and part[i] in counts:
+                held += seen[part[i]] < counts[part[i]]
+                seen[part[i]] += 1
+            gone = i - reach
+            if gone >= 0 and part[gone] in counts:
+                seen[part[gone]] -= 1
+                held -= seen[part[gone]] < counts[part[gone]]
+            if 0 <= i - reach + 1 < len(part):
+                enough[i - reach + 1] = held >= need
+        for start in self.starts(part, template, rare):
+            if not enough[start] and len(part) > reach:
+                continue
+            pairs = align(template, part[start : start + reach])
+            share = len(pairs) / len(template)
+            if pairs and len(pairs) >= need:
+                found.add((-share, pairs[-1][1] - pairs[0][1], start + pairs[0][1], start + pairs[-1][1] + 1))
+        picked: list[tuple[float, int, int]] = []  # in the order of their places
+        for share, _, a, b in sorted(found):
+            at = bisect_left(picked, (low + a,), key=lambda x: (x[1],))
+            if (at == 0 or picked[at - 1][2] <= low + a) and (at == len(picked) or picked[at][1] >= low + b):
+                picked.insert(at, (-share, low + a, low + b))
+        return picked
 
     def starts(self, part: list[str], template: list[str], rare: list[str]) -> list[int]:
-        """Where a stretch may begin: as far before each rare word as the template has it, and the window itself."""
-        first = {w: template.index(w) for w in rare}
+        """Where a stretch may begin: as far before each rare word as the template has it, at any of its places there, and the part's start."""
+        places = {w: [i for i, x in enumerate(template) if x == w] for w in rare}
         slack = len(template) - math.ceil(self.coverage * len(template))
-        return sorted({0, *(max(0, i - first[w] - d) for i, w in enumerate(part) if w in first for d in (0, slack))})
+        return sorted({0, *(max(0, i - k - d) for i, w in enumerate(part) if w in places for k in places[w] for d in (0, slack, k * (self.spread - 1)))})
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, spread: int = 5) -> DataFrame:
     """Rows (doc_id, n_licenses, license, coverage, spans), one an input row: the best, and all as name:first:behind."""
     templates = TEMPLATES if templates is None else templates
     schema = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("spans", pa.string())])
 
     def run(batches):
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, spread)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
