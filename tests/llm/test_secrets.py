@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
+import time
 
 from helpers import docs, sample
 
-from meterlake.llm.secret_scan import scan
+from meterlake.llm.secret_scan import KINDS, bare_spans, base_spans, live_looking, scan
 
 KEYED = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -44,4 +46,49 @@ def test_ownership(spark):
 def test_nulls_repeats_and_empty(spark):
     assert scan(docs(spark, [])).count() == 0
     got = scan(docs(spark, [(None, "token=abcdefg", None), (1, "token=abcdefg", None), (1, "token=abcdefg", None)])).collect()
-    assert len(got) == 3 and all(r.n_assign == 1 and r.n_live == 1 for r in got)
+    assert len(got) == 3 and all(r.n_assign == 1 and r.n_live == 0 and r.n_repeated == 1 for r in got)
+
+
+def test_ownership_against_plain_counts(spark):
+    """Every value's owners counted over the whole table without hashes; the judgement follows from them."""
+    rng = random.Random(2)
+    values = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randint(8, 26))) for _ in range(40)]
+    rows = []
+    for i in range(400):
+        v = rng.choice(values) if rng.random() < 0.7 else rng.choice(values[:4])
+        text = rng.choice(["token={}", "see {} there", "password: {} and secret={}", "x{}"]).replace("{}", v)
+        rows.append((i, text, rng.choice([None, f"o{rng.randrange(9)}/r{rng.randrange(3)}", f"solo{rng.randrange(4)}"])))
+    held, based, places = {}, set(), {}
+    each = {}
+    for i, x, source in rows:
+        base = base_spans(x)
+        each[i] = [(a, k, b, v, True) for a, k, b, v in base] + [(a, k, b, v, s) for a, k, b, v, s in bare_spans(x, base)]
+        for a, k, b, v, s in each[i]:
+            held.setdefault(v, set()).add((source or "").split("/")[0])
+            places[v] = places.get(v, 0) + 1
+            based |= {v} if k < 3 else set()
+    got = {r.doc_id: r for r in scan(docs(spark, rows)).collect()}
+    for i, found in each.items():
+        kept = sorted((a, k, b, v) for a, k, b, v, s in found if k < 3 or v in based or s and len(held[v]) < 3)
+        r = got[i]
+        assert r.spans == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in kept)
+        want = (sum(len(held[v]) < 3 and live_looking(v) for *_, v in kept), sum(len(held[v]) >= 3 for *_, v in kept), sum(places[v] > 1 for *_, v in kept))
+        assert (r.n_live, r.n_example, r.n_repeated) == want
+
+
+def test_overlaps_are_found_in_one_pass():
+    def run(n):
+        text = "".join(f"token=a1b2c3d4e5f{i} x9y8z7w6v5u4t{i} " for i in range(n))
+        began = time.perf_counter()
+        assert len(bare_spans(text, base_spans(text))) == n
+        return time.perf_counter() - began
+
+    run(1000)
+    assert run(20_000) < 60 * max(run(1000), 1e-3)
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    clash = docs(spark, [(1, "token=abcdefg"), (2, "x" * 3_000_000 + " token=abcdefg")]).withColumns({c: F.lit(9) for c in ("row", "repo", "found", "hash", "spans", "owners")})
+    assert sorted((r.doc_id, r.n_assign) for r in scan(clash).collect()) == [(1, 1), (2, 1)]
