@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are canonicalised: a number becomes <num>, a unit after a number <unit>, a capitalised word within a sentence
-<name>; case and punctuation at the ends go. Windows of five canonical words are hashed. A document's windows that
+Words are canonicalised: a number becomes <num>, a unit after a number <unit>, a capitalised word <name> (at the start
+of a sentence unless it is one of the words that often open one); case and punctuation at the ends go. Windows of five
+canonical words are hashed; those of placeholders alone, such as a row of numbers, say nothing and are left out where
+an item has others. A document's windows that
 pass a filter of fixed size are hash-joined with the benchmark's windows; a document and an item match where the
 windows found cover at least ``coverage`` of the item's. Then the slots are checked: along the alignment, each value
 in an item's slots has to stand for one value in the document (a question with its numbers and names exchanged is
@@ -36,6 +38,16 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent degree degrees c f k "
     "hz khz mhz ghz w kw kwh v a b kb mb gb tb usd eur gbp dollar dollars cent cents euro euros pound pounds mph kmh kph m/s km/h".split()
 )
+# Words that open sentences and are no names.
+OPENERS = frozenset(
+    "a about after all also although an and another any are as at because before both but by can could did do does during each either every few find first for from given had has have he her here his how "
+    "however i if in instead into is it its last later let many more most much my neither next no nor not now of on once one only or other our over she should since so some such suppose than that the their "
+    "them then there therefore these they this those though three through thus to two under until we well were what when where whether which while who whose why will with without would yes yet you your "
+    "compute calculate determine show prove write explain describe solve evaluate simplify draw list name state assume consider "
+    "der die das ein eine er sie es wir ihr ich und oder aber wenn als wie was wer wo warum in im am auf mit von zu nach bei für ist sind war "
+    "le la les un une il elle ils elles nous vous je et ou mais si quand comme dans sur avec de du des pour par est sont "
+    "el los las uno una ellos ellas nosotros yo y o pero cuando como en con del para por es son".split()
+)
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d_]+|%)")
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»¿¡…–—"
@@ -48,7 +60,7 @@ WINDOW = 5
 class Canon:
     """Words to numbers: (hash within a sentence, hash at its start, hash of the value, class) and whether a sentence ends.
 
-    Classes: 0 a word, 1 a number, 2 a unit's word, 3 a name unless at the start, 4 a number with its unit, 5 nothing.
+    Classes: 0 a word, 1 a number, 2 a unit's word, 3 a name unless at the start, 4 a number with its unit, 5 nothing, 6 a name.
     """
 
     def __init__(self):
@@ -96,7 +108,7 @@ class Canon:
         if low in UNITS:
             return plain, plain, plain, 2, ends
         if core[0].isupper() and core[1:] == core[1:].lower():
-            return NAME, plain, plain, 3, ends
+            return (NAME, plain, plain, 3, ends) if low in OPENERS else (NAME, NAME, plain, 6, ends)
         return plain, plain, plain, 0, ends
 
     def windows(self, text: str, sizes: tuple[int, ...]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
@@ -124,7 +136,7 @@ class Canon:
         after = np.concatenate([[False], kind[:-1] == 1]) if len(kind) else np.zeros(0, bool)
         unit = after & (kind == 2)
         canon = np.where(unit, np.uint64(UNIT), canon)
-        slot = (kind == 1) | (kind == 3) | (kind == 4) | unit
+        slot = (kind == 1) | (kind == 3) | (kind == 4) | (kind == 6) | unit
         out = {}
         with np.errstate(over="ignore"):
             for k in sizes:
@@ -151,8 +163,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 if size:
                     held = np.where(slot, value, 0).view(np.int64)
                     whole, variant = (x - (1 << 64 if x >> 63 else 0) for x in (xxhash.xxh64_intdigest(a.tobytes(), 9) for a in (by[1], held)))
-                    for pos, h in enumerate(by[size].view(np.int64).tolist()):
-                        out.append({"template": whole, "variant": variant, "item_id": item, "n": len(by[size]), "pos": pos, "size": size, "h": h, "slots": held[pos : pos + size].tolist()})
+                    # windows with a word of their own, if there are any
+                    own = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(~slot, size).any(axis=1))
+                    own = own if len(own) else np.arange(len(by[size]))
+                    for pos, h in zip(own.tolist(), by[size].view(np.int64)[own].tolist(), strict=True):
+                        out.append({"template": whole, "variant": variant, "item_id": item, "n": len(own), "pos": pos, "size": size, "h": h, "slots": held[pos : pos + size].tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return benchmark.select("item_id", "text").mapInArrow(run, "template long, variant long, item_id long, n long, pos long, size int, h long, slots array<long>")
@@ -164,7 +179,7 @@ def _least() -> Column:
 
 def item_classes(benchmark: DataFrame) -> DataFrame:
     """Rows (item_id, class_id) of all items with words: the item_id under which matches() reports an item."""
-    each = cut(item_windows(benchmark).where("pos = 0").select("template", "variant", "item_id"), "templates")
+    each = cut(item_windows(benchmark).select("template", "variant", "item_id").distinct(), "templates")
     named = each.join(each.groupBy("template", "variant").agg(_least()), ["template", "variant"])
     return named.select("item_id", F.when(F.col("class") < 2**63 - 1, F.col("class")).alias("class_id"))
 
@@ -200,11 +215,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> Dat
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     probes = docs.select("_key_id", "_key_text", "text").mapInArrow(run, "_key_id long, _key_text long, at long, h long, held array<long>")
-    hits = cut(probes.join(templates.select("h", "template", "n", "pos", "slots"), "h"), "template-hits")
-    pair = ["_key_id", "_key_text", "template"]
-    enough = hits.groupBy(*pair, "n").agg(F.count_distinct("pos").alias("found")).where(F.col("found") >= F.lit(coverage) * F.col("n"))
+    probes, doc, pair = cut(probes, "template-probes"), ["_key_id", "_key_text"], ["_key_id", "_key_text", "template"]
+    # a document's distinct windows first: a row for each template that has one, wherever and how often it stands
+    known = templates.groupBy("template", "n", "h").agg(F.count("*").alias("m"))
+    met = probes.select(*doc, "h").distinct().join(known, "h").groupBy(*pair, "n").agg(F.sum("m").alias("found"))
+    enough = cut(met.where(F.col("found") >= F.lit(coverage) * F.col("n")), "template-met")
+    # the places only of what is covered
+    hits = probes.join(enough.select(*pair), doc).join(templates.select("template", "h", "pos", "slots"), ["template", "h"])
     # what stands in the document at each slot and in how many windows; where the slots are is the template's
-    met = hits.join(enough.select(*pair), pair, "left_semi").select(*pair, (F.col("at") - F.col("pos")).alias("shift"), "pos", F.posexplode(F.arrays_zip("slots", "held")).alias("i", "z"))
+    met = hits.select(*pair, (F.col("at") - F.col("pos")).alias("shift"), "pos", F.posexplode(F.arrays_zip("slots", "held")).alias("i", "z"))
     met = met.where("z.slots <> 0").groupBy(*pair, "shift", (F.col("pos") + F.col("i")).alias("place"), F.col("z.held").alias("d")).agg(F.count("*").alias("c"))
     # against the values of each class of the template
     values = items.select(*same, "pos", F.posexplode("slots").alias("i", "s")).where("s <> 0").select(*same, (F.col("pos") + F.col("i")).alias("place"), "s").distinct()
