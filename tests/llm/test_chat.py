@@ -86,3 +86,22 @@ def test_no_python_in_the_plan(spark):
 def test_levels(spark, level):
     got = chat_quotes.format_chat(rows(spark, [(1, 0, "user", "A b"), (1, 1, "user", "> " * level + "a  B")])).where("turn = 1").first()
     assert (got.max_level, got.n_linked, got.parent) == (level, 1, 0)
+
+
+def test_quotes_of_the_table_are_linked(spark):
+    """The conversations hold no quotes of their own: with quotes put in, Spark and SQL link the same messages."""
+    import duckdb
+    import glob
+    import os
+
+    from meterlake.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        c.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df, want = queries.chat_with_quotes(spark, sf), c.sql(queries.ORACLE_SQL["chat_with_quotes"])
+    columns = sorted(df.columns)
+    rows = df.select(*columns).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want.select(*columns).fetchall()))
+    assert sum(r.n_linked > 0 for r in rows) > 0.3 * len(rows) and any(r.max_level == 2 for r in rows) and any(r.parent != r.turn - 1 for r in rows if r.parent is not None)
