@@ -100,7 +100,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     else:
         if before[0]:
             raise RuntimeError("components did not settle")
-    found = edges.select("u", F.col("v").alias("root"))
+    found = swept(edges).select("u", F.col("v").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("u"), "root").distinct())
 
 

@@ -36,6 +36,8 @@ from meterlake.llm.common import components, cut, masked, still_apart, swept
 
 SAMPLES, FIRST, PERIOD, CLASSES = 64, 64, 1024, 256
 BAND = 8
+#: Further members of a bucket that the others are held against before what is still apart meets in pairs.
+HEADS = 3
 
 
 def _steps() -> bytes:
@@ -190,19 +192,57 @@ def _bands() -> list[list[int]]:
     return [sorted(order[i : i + BAND].tolist()) for i in range(0, SAMPLES, BAND)]
 
 
+def levels_of(nodes: DataFrame) -> DataFrame:
+    """Of rows (node, fingerprint): rows (node, level, own), the samples of its three last ranges."""
+    last = F.length("fingerprint") / SAMPLES
+    levels = F.sequence(F.greatest(last - 3, F.lit(0)).cast("int"), F.greatest(last - 1, F.lit(0)).cast("int"))
+    each = nodes.select("node", "fingerprint", F.explode(levels).alias("level"))
+    return each.select("node", "level", F.substring("fingerprint", F.col("level") * SAMPLES + 1, F.lit(SAMPLES)).alias("own"))
+
+
 def bands_of(nodes: DataFrame) -> DataFrame:
     """Of rows (node, fingerprint): rows (key, node), one a band; bands that reach behind the text's end are left out."""
-    last = F.length("fingerprint") / SAMPLES
-    levels = nodes.select("node", "fingerprint", F.explode(F.sequence(F.greatest(last - 3, F.lit(0)).cast("int"), F.greatest(last - 1, F.lit(0)).cast("int"))).alias("level"))
-    levels = levels.select("node", "level", F.substring("fingerprint", F.col("level") * SAMPLES + 1, F.lit(SAMPLES)).alias("own"))
     # of the first range neighbours go together, so that short texts fill a band
     spread = lambda band: F.concat(*(F.substring("own", p + 1, 1) for p in band))
     first = F.array(*(F.substring("own", i + 1, BAND) for i in range(0, SAMPLES, BAND)))
     texts = F.when(F.col("level") == 0, first).otherwise(F.array(*map(spread, _bands())))
-    each = levels.select("node", "level", F.posexplode(texts).alias("band", "own")).where(f"length(own) = {BAND} and not contains(own, '.')")
+    each = levels_of(nodes).select("node", "level", F.posexplode(texts).alias("band", "own")).where(f"length(own) = {BAND} and not contains(own, '.')")
     return each.select(F.xxhash64("level", "band", "own").alias("key"), "node")
 
 
+def sketches(nodes: DataFrame) -> DataFrame:
+    """Rows (node, top, c, s00 to s23): the last range, its samples before the text's end, and of the three last ranges
+    (the last first) the samples, fifteen a number, four bits each."""
+    last = F.greatest(F.ceil(F.length("fingerprint") / SAMPLES) - 1, F.lit(0)).cast("int")
+    df = nodes.select("node", last.alias("top"), "fingerprint")
+    own = lambda d: F.when(F.col("top") >= d, F.substring("fingerprint", (F.col("top") - d) * SAMPLES + 1, F.lit(SAMPLES)))
+    part = lambda d, i: F.conv(F.substring(F.translate(own(d), ".", "0"), 15 * i + 1, 15), 16, 10).cast("long").alias(f"s{d}{i}")
+    return df.select("node", "top", F.length(F.regexp_replace(own(0), "[.]", "")).alias("c"), *(part(d, i) for d in range(3) for i in range(4)))
+
+
+def may_be_like(least: float) -> str:
+    """SQL over two rows of sketches() (a_, b_): false only where likeness() is below ``least``, but for 0.05 that samples left out may hold.
+
+    The weight of samples that differ in the ranges known of both, against the weight of all; ranges below count as equal.
+    """
+
+    def differ(x, y):  # samples of two ranges that differ: four bits each, set to one
+        each = (f"(a_s{x}{i} ^ b_s{y}{i})" for i in range(4))
+        return " + ".join(f"coalesce(bit_count(({e} | shiftrightunsigned({e}, 1) | shiftrightunsigned({e}, 2) | shiftrightunsigned({e}, 3)) & {0x0111111111111111}L), 0)" for e in each)
+
+    weight = lambda level: f"(case when {level} <= 0 then 1 else power(2, {level} - 1) end)"
+    total = lambda c, top: f"({weight(top)} * {c} + case when {top} = 0 then 0 else {SAMPLES} * power(2, {top} - 1) end)"
+    same = " + ".join(f"{weight(f'(a_top - {d})')} * ({differ(d, d)})" for d in range(3))
+    allowed = 1 - least + 0.05
+    scale = SAMPLES / 60
+    cases = [f"when a_top = b_top then {scale!r} * ({same}) <= {allowed!r} * {total('greatest(a_c, b_c)', 'a_top')}"]
+    for hi, lo in (("a", "b"), ("b", "a")):
+        pairs = [differ(*((d + 1, d) if hi == "a" else (d, d + 1))) for d in range(2)]
+        lost = f"{weight(f'{hi}_top')} * {hi}_c + {scale!r} * (" + " + ".join(f"{weight(f'({lo}_top - {d})')} * ({x})" for d, x in enumerate(pairs)) + ")"
+        cases.append(f"when {hi}_top = {lo}_top + 1 then {lost} <= {allowed!r} * {total(f'{hi}_c', f'{hi}_top')}")
+    return f"(case {' '.join(cases)} else false end)"
+
+
 def node_of() -> Column:
     return F.xxhash64("fingerprint").alias("node")
 
@@ -226,7 +266,7 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
     pieces = F.array(*(F.xxhash64(F.lit(-1 - i), F.substring("fingerprint", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
     short = nodes.where(F.substring("fingerprint", few + 1, 1).isin("", ".")).select(F.explode(pieces).alias("key"), "node")
     spread = bands_of(nodes).unionByName(short)
-    many = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "edit-keys")
+    many = swept(cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "edit-keys"))
     # the walk's length, from the samples that it reaches: texts are like only if the shorter one's is ``least`` of it
     top = F.greatest(F.ceil(F.length("fingerprint") / SAMPLES) - 1, F.lit(0))
     reach = (F.length(F.regexp_replace("fingerprint", "[.]", "")) - top * SAMPLES) / SAMPLES
@@ -234,12 +274,12 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
     sized = nodes.select("node", size)
     held = cut(masked(spread, many, "key").join(many, "key").join(sized, "node"), "edit-buckets")
     close = lambda x, y: f"least({x}, {y}) >= {least - 0.1!r} * greatest({x}, {y}) - 16"  # noqa: E731  the length is an estimate
-    first = held.where("node <> head").join(sized.select(F.col("node").alias("head"), F.col("size").alias("head_size")), "head").where(close("size", "head_size"))
+    first = held.where("node <> head").select("node", "head", "size").join(sized.select(F.col("node").alias("head"), F.col("size").alias("head_size")), "head").where(close("size", "head_size"))
     first = first.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
 
     def linked(pairs):
         side = lambda u, a: nodes.select(F.col("node").alias(u), F.col("fingerprint").alias(a))
-        return cut(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(like, "u long, v long"), "edit-links")
+        return swept(cut(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(like, "u long, v long"), "edit-links"))
 
     def like(batches):
         for batch in batches:
@@ -248,7 +288,25 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
 
     roots = components(linked(first), "edit-components")
-    more = linked(still_apart(held.where("n > 2").select("key", "node", "size"), roots, ["size"], close("a_size", "b_size"), "edit"))
+    # of the rest only what may be like, as far as sketches of the three last ranges tell: few pairs more than are
+    of = ["top", "c", *(f"s{d}{i}" for d in range(3) for i in range(4))]
+    several, near = cut(held.where("n > 2").select("key", "node").join(sketches(nodes), "node"), "edit-several"), may_be_like(least)
+    for turn in range(HEADS):  # linear again: another member of each bucket that is still in several classes
+        named = several.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head"))
+        ranked = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+        # the largest class but one gives the head
+        other = sizes.join(ranked, "key").where("root <> most").groupBy("key").agg(F.max_by("head", F.struct("size", "root")).alias("head"), F.max_by("root", F.struct("size", "root")).alias("head_root"))
+        heads = cut(other.join(sketches(nodes).withColumnRenamed("node", "head"), "head").select("key", "head", F.col("head_root").alias("b_root"), *(F.col(c).alias(f"b_{c}") for c in of)), "edit-heads")
+        if heads.isEmpty():
+            break
+        members = named.select("key", "node", F.col("root").alias("a_root"), *(F.col(c).alias(f"a_{c}") for c in of))
+        pairs = members.join(heads, "key").where(f"a_root <> b_root and {near}").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+        more = linked(pairs)
+        if more.isEmpty():
+            break
+        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
+    more = linked(still_apart(several, roots, of, near, "edit"))
     if not more.isEmpty():
         roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
     rooted = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))

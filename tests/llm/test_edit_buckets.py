@@ -42,3 +42,17 @@ def test_nine_in_ten_of_all_like_pairs_share_a_class(spark, monkeypatch):
 def test_rows_without_doc_id(spark):
     got = report(docs(spark, [(None, "one text here of some length"), (None, "one text here of some length"), (4, "another one, quite different"), (4, "one text here of some length")])).collect()
     assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 4), (0, 4), (4, 4), (4, 4)]
+
+
+def test_sketches_let_all_like_pairs_through(spark):
+    """The native bound against likeness() on all pairs of real and edited texts, tops apart included."""
+    from meterlake.llm.edit_embed import may_be_like, node_of, sketches
+
+    texts = [x for _, x, _ in sample(120) if 30 < len(x) < 3000][:60]
+    texts += [x[: len(x) - len(x) // k] for x in texts[:30] for k in (3, 8)] + [x[:9] + "!" + x[9:] for x in texts[:30]]
+    rows = spark.createDataFrame([(fingerprint(x),) for x in texts], "fingerprint string").select("fingerprint", node_of()).distinct()
+    own = sketches(rows).join(rows, "node")
+    a, b = (own.select(*(own[c].alias(f"{s}_{c}") for c in own.columns)) for s in "ab")
+    pairs = a.crossJoin(b).where("a_node < b_node").selectExpr("a_fingerprint", "b_fingerprint", f"{may_be_like(0.8)} as may").collect()
+    like = [(likeness(r[0], r[1]) >= 0.8, r.may) for r in pairs]
+    assert sum(x for x, _ in like) > 50 and all(may for x, may in like if x) and sum(may for x, may in like if not x) < 0.05 * len(like)
