@@ -181,7 +181,7 @@ FLOWS = """select '10.45.' || (user_id // 256) || '.' || (user_id % 256) as src,
 
 
 def flow_columns(df: DataFrame) -> DataFrame:
-    return df.select(ip.format_ip(F.col("src_ip")).alias("src"), "src_port", "dst_port", "teid", "imsi", "direction", "bytes", "packets", "last_seen_ns")
+    return df.select(contract.subscriber_address(F.col("src_ip")).alias("src"), "src_port", "dst_port", "teid", "imsi", "direction", "bytes", "packets", "last_seen_ns")
 
 
 @query(FLOWS)
