@@ -525,7 +525,7 @@ SUBS = "select user_imsi as imsi, dense_rank() over (order by user_id) - 1 as su
 from ({FLOWS.replace("sum(bytes)::bigint as bytes", "sum(bytes)::bigint as bytes, arg_min(coalesce(qfi, 0), pkt_no) as qfi")}) f join ({SUBS}) s on s.imsi = f.imsi""")
 def flows_document(spark, sf_dir):
     p = plan(spark, sf_dir)
-    return documents.flow_rows(p.flows, sessions.numbered(p.subscribers)).select("bytes", "value")
+    return documents.flow_rows(p.flows, sessions.numbered(p.subscribers), contract.subscriber_address).select("bytes", "value")
 
 
 @query(f""", slotted as (select imsi, slot, arg_min(bucket, first_pkt) as bucket, sum(bytes)::bigint as bytes, max(ids) > 3 as many from ranked group by imsi, slot), texts as (

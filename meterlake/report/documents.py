@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.formats import bucket_kind, bucket_number, rfc3339
@@ -41,10 +43,10 @@ def subscriber_rows(counters: DataFrame, installed: DataFrame, slotted: DataFram
     return df.select("imsi", "sub", (F.coalesce("ul_bytes", F.lit(0)) + F.coalesce("dl_bytes", F.lit(0))).alias("total"), F.to_json(doc).alias("value"))
 
 
-def flow_rows(flows: DataFrame, installed: DataFrame) -> DataFrame:
-    """One JSON object a flow (columns bytes, flow_key, value)."""
+def flow_rows(flows: DataFrame, installed: DataFrame, source: Callable[[Column], Column] = format_ip) -> DataFrame:
+    """One JSON object a flow (columns bytes, flow_key, value). source: how the inner source address is written."""
     doc = F.struct(
-        "teid", "sub", format_ip(F.col("src_ip")).alias("src"), format_ip(F.col("dst_ip")).alias("dst"), F.coalesce("src_port", F.lit(0)).alias("src_port"), F.coalesce("dst_port", F.lit(0)).alias("dst_port"),
+        "teid", "sub", source(F.col("src_ip")).alias("src"), format_ip(F.col("dst_ip")).alias("dst"), F.coalesce("src_port", F.lit(0)).alias("src_port"), F.coalesce("dst_port", F.lit(0)).alias("dst_port"),
         F.coalesce("proto", F.lit(0)).alias("proto"), F.coalesce("qfi", F.lit(0)).alias("qfi"), "direction", "bytes", "packets",
     )
     return flows.join(installed.select("imsi", "sub"), "imsi").select("bytes", "flow_key", F.to_json(doc).alias("value"))
