@@ -105,7 +105,7 @@ def ingest_outcomes(spark, sf_dir):
   case when not control then 20000 + (user_id * 7 + k % 4) % 40000 end::bigint as src_port, case when not control then [80, 443, 53][pkt_no % 3 + 1] end::bigint as dst_port from m""")
 def meter_events(spark, sf_dir):
     e = plan(spark, sf_dir).events
-    return longs(e.select("pkt_no", "ts_ns", "teid", "msg_type", "control", "bytes", "wire_bytes", "dir", "qfi", "ip_version", "proto", ip.format_ip(F.col("src_ip")).alias("src"), ip.format_ip(F.col("dst_ip")).alias("dst"), "src_port", "dst_port"))
+    return longs(e.select("pkt_no", "ts_ns", "teid", "msg_type", "control", "bytes", "wire_bytes", "dir", "qfi", "ip_version", "proto", contract.subscriber_address(F.col("src_ip")).alias("src"), ip.format_ip(F.col("dst_ip")).alias("dst"), "src_port", "dst_port"))
 
 
 @query("select 1::bigint as msg_type, 7::bigint as seq, count(*) as packets from m where control having count(*) > 0")
