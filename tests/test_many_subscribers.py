@@ -16,7 +16,7 @@ def sf(tmp_path_factory):
     return found
 
 
-@pytest.mark.parametrize("name", ["flows", "flows_document", "meter_events"])
+@pytest.mark.parametrize("name", ["flows", "flows_document", "meter_events", "top_flows"])
 def test_query_equals_sql(spark, sf, name):
     duck = duckdb.connect()
     duck.sql(f"create view events as select * from '{sf}/events.parquet'")
