@@ -6,11 +6,14 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds of star contraction after which a graph counts as broken input; a graph of n nodes needs about log2(n)^2.
 MAX_ROUNDS = 200
+#: Links of a graph that the driver takes to settle it by itself: 16 bytes each.
+FEW_LINKS = 1 << 16
 #: Longs of 64 bits in a filter of fixed size that is broadcast: at most so many rows.
 FILTER_LONGS = 1 << 16
 
@@ -73,12 +76,29 @@ def doc_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("_key_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key_text")]
 
 
+def settled(edges: DataFrame) -> DataFrame:
+    """Rows (u, v) that join each node of few links to the smallest one of its component, found on the driver."""
+    table, up = edges.select("u", "v").toArrow(), {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist(), strict=True):
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    found = [(x, r) for x in up if (r := root(x)) != x]
+    return edges.sparkSession.createDataFrame(pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([r for _, r in found], pa.int64())}))
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``links`` (u long, v long): rows (u, root) for every node, root the smallest node.
 
     Alternating large-star and small-star contraction. Each half is a minimum per node (combined before the
     shuffle) joined back to the edges, so that no neighbour list is ever gathered and a hub is only a skewed
-    join side, which adaptive execution splits. Every round ends in the shared folder.
+    join side, which adaptive execution splits. Every round ends in the shared folder. A graph of at most FEW_LINKS
+    links takes no rounds: a dozen shuffles of next to nothing cost more files and tasks than it has rows.
     """
 
     def state(t: DataFrame) -> tuple:
@@ -86,7 +106,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     before = state(edges)
-    for _ in range(MAX_ROUNDS if before[0] else 0):
+    few = before[0] <= FEW_LINKS
+    if before[0] and few:
+        edges = cut(settled(edges), label)
+    for _ in range(0 if few else MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -98,7 +121,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             break
         before = after
     else:
-        if before[0]:
+        if not few:
             raise RuntimeError("components did not settle")
     found = swept(edges).select("u", F.col("v").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("u"), "root").distinct())

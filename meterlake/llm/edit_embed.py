@@ -306,7 +306,7 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
         if more.isEmpty():
             break
         roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
-    more = linked(still_apart(several, roots, of, near, "edit"))
+    more = linked(swept(cut(still_apart(several, roots, of, near, "edit"), "edit-pairs")))
     if not more.isEmpty():
         roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
     rooted = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
