@@ -212,33 +212,32 @@ def bands_of(nodes: DataFrame) -> DataFrame:
 
 def sketches(nodes: DataFrame) -> DataFrame:
     """Rows (node, top, c, s00 to s23): the last range, its samples before the text's end, and of the three last ranges
-    (the last first) the samples, fifteen a number, four bits each."""
+    (the last first) the samples, sixteen a number, four bits each."""
     last = F.greatest(F.ceil(F.length("fingerprint") / SAMPLES) - 1, F.lit(0)).cast("int")
     df = nodes.select("node", last.alias("top"), "fingerprint")
     own = lambda d: F.when(F.col("top") >= d, F.substring("fingerprint", (F.col("top") - d) * SAMPLES + 1, F.lit(SAMPLES)))
-    part = lambda d, i: F.conv(F.substring(F.translate(own(d), ".", "0"), 15 * i + 1, 15), 16, 10).cast("long").alias(f"s{d}{i}")
+    part = lambda d, i: F.conv(F.substring(F.translate(own(d), ".", "0"), 16 * i + 1, 16), 16, -10).cast("long").alias(f"s{d}{i}")
     return df.select("node", "top", F.length(F.regexp_replace(own(0), "[.]", "")).alias("c"), *(part(d, i) for d in range(3) for i in range(4)))
 
 
 def may_be_like(least: float) -> str:
-    """SQL over two rows of sketches() (a_, b_): false only where likeness() is below ``least``, but for 0.05 that samples left out may hold.
+    """SQL over two rows of sketches() (a_, b_): false only where likeness() is below ``least``.
 
     The weight of samples that differ in the ranges known of both, against the weight of all; ranges below count as equal.
     """
 
     def differ(x, y):  # samples of two ranges that differ: four bits each, set to one
         each = (f"(a_s{x}{i} ^ b_s{y}{i})" for i in range(4))
-        return " + ".join(f"coalesce(bit_count(({e} | shiftrightunsigned({e}, 1) | shiftrightunsigned({e}, 2) | shiftrightunsigned({e}, 3)) & {0x0111111111111111}L), 0)" for e in each)
+        return " + ".join(f"coalesce(bit_count(({e} | shiftrightunsigned({e}, 1) | shiftrightunsigned({e}, 2) | shiftrightunsigned({e}, 3)) & {0x1111111111111111}L), 0)" for e in each)
 
     weight = lambda level: f"(case when {level} <= 0 then 1 else power(2, {level} - 1) end)"
     total = lambda c, top: f"({weight(top)} * {c} + case when {top} = 0 then 0 else {SAMPLES} * power(2, {top} - 1) end)"
     same = " + ".join(f"{weight(f'(a_top - {d})')} * ({differ(d, d)})" for d in range(3))
-    allowed = 1 - least + 0.05
-    scale = SAMPLES / 60
-    cases = [f"when a_top = b_top then {scale!r} * ({same}) <= {allowed!r} * {total('greatest(a_c, b_c)', 'a_top')}"]
+    allowed = 1 - least + 1e-9
+    cases = [f"when a_top = b_top then {same} <= {allowed!r} * {total('greatest(a_c, b_c)', 'a_top')}"]
     for hi, lo in (("a", "b"), ("b", "a")):
         pairs = [differ(*((d + 1, d) if hi == "a" else (d, d + 1))) for d in range(2)]
-        lost = f"{weight(f'{hi}_top')} * {hi}_c + {scale!r} * (" + " + ".join(f"{weight(f'({lo}_top - {d})')} * ({x})" for d, x in enumerate(pairs)) + ")"
+        lost = f"{weight(f'{hi}_top')} * {hi}_c + " + " + ".join(f"{weight(f'({lo}_top - {d})')} * ({x})" for d, x in enumerate(pairs))
         cases.append(f"when {hi}_top = {lo}_top + 1 then {lost} <= {allowed!r} * {total(f'{hi}_c', f'{hi}_top')}")
     return f"(case {' '.join(cases)} else false end)"
 
