@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import components, cut, masked, still_apart, swept
+from meterlake.llm.common import FEW_LINKS, components, cut, masked, still_apart, swept
 
 SAMPLES, FIRST, PERIOD, CLASSES = 64, 64, 1024, 256
 BAND = 8
@@ -286,7 +286,7 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
             keep = [i for i in range(len(u)) if likeness(a[i], b[i]) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
 
-    roots = components(linked(first), "edit-components")
+    roots = components(linked(first), "edit-components", FEW_LINKS)
     # of the rest only what may be like, as far as sketches of the three last ranges tell: few pairs more than are
     of = ["top", "c", *(f"s{d}{i}" for d in range(3) for i in range(4))]
     several, near = cut(held.where("n > 2").select("key", "node").join(sketches(nodes), "node"), "edit-several"), may_be_like(least)
@@ -304,10 +304,10 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
         more = linked(pairs)
         if more.isEmpty():
             break
-        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
+        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components", FEW_LINKS)
     more = linked(swept(cut(still_apart(several, roots, of, near, "edit"), "edit-pairs")))
     if not more.isEmpty():
-        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components")
+        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components", FEW_LINKS)
     rooted = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     return cut(rooted.join(named, "root").select("node", "class_id"), "edit-classes")
