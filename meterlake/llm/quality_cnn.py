@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import shield, unshield
+from meterlake.llm.common import released, shield, unshield
 
 CHUNK, STEP = 512, 384
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 8, 32, 16
 PAD = 0
+#: Rows of which a task has the texts as Python strings at a time.
+ROWS = 500
 
 
 def chunks(data: bytes) -> np.ndarray:
@@ -180,19 +182,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, most_bytes: i
     return Network().fit(*map(list, zip(*rows, strict=True))) if len({q for _, q in rows}) == 2 else None
 
 
+def scored(batches, fitted: dict[str, np.ndarray] | None, keep: tuple[str, ...]):
+    """Batches (the columns ``keep`` and) score; texts are Python strings ROWS at a time, and what they took goes back at the end."""
+    own = Network()
+    if fitted:
+        own.p = fitted
+    for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+        got = own.scores([(x or "").encode("utf-8", "replace") for x in part.column("text").to_pylist()]) if fitted else [1.0] * len(part)
+        yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
+        del part, got
+    released()
+
+
 def scores(docs: DataFrame, network: Network | None, *keep: str) -> DataFrame:
     """Rows (the columns ``keep`` and) score."""
     shared = docs.sparkSession.sparkContext.broadcast(network and network.p)
     schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches):
-        own = Network()
-        if shared.value:
-            own.p = shared.value
-        for batch in batches:
-            texts = [(x or "").encode("utf-8", "replace") for x in batch.column("text").to_pylist()]
-            got = own.scores(texts) if shared.value else [1.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
+        return scored(batches, shared.value, keep)
 
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
