@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import FEW_LINKS, components, cut, masked, still_apart, swept
+from meterlake.llm.common import FEW_LINKS, components, cut, dealt_apart, masked, swept
 
 SAMPLES, FIRST, PERIOD, CLASSES = 64, 64, 1024, 256
 BAND = 8
@@ -242,6 +242,67 @@ def may_be_like(least: float) -> str:
     return f"(case {' '.join(cases)} else false end)"
 
 
+def joining(roots_a: list, prints_a: list[str], roots_b: list, prints_b: list[str], least: float) -> list[tuple[int, int]]:
+    """Places (in a, in b) of pairs with a likeness() of ``least`` or more, so many as join all classes that such pairs join.
+
+    What is already joined, by its class or by pairs before, isn't paired again: there are fewer pairs than classes.
+    """
+    size = max(map(len, [*prints_a, *prints_b, "."]))
+    grid = lambda prints: np.frombuffer("".join(x.ljust(size, ".") for x in prints).encode(), np.uint8).reshape(len(prints), size)
+    a, b = grid(prints_a), grid(prints_b)
+    level = np.arange(size) // SAMPLES
+    weight = np.where(level == 0, 1.0, np.exp2(np.maximum(level - 1, 0)))
+    total = lambda x: ((x != ord(".")) * weight).sum(axis=1)  # noqa: E731  places behind the end come last: of two texts the longer has all that either has
+    all_a, all_b = total(a), total(b)
+    _, own = np.unique(np.array([*roots_a, *roots_b], np.int64), return_inverse=True)
+    own_a, own_b, found = own[: len(a)], own[len(a) :].copy(), []
+    up = np.arange(own.max() + 1)  # class -> the class that it has come to
+    for i in range(len(a)):
+        mine = up[own_a[i]]
+        rest = np.flatnonzero(up[own_b] != mine)
+        low = max(0, (len(prints_a[i]) // SAMPLES - 2) * SAMPLES)
+        whole = np.maximum(all_b[rest], all_a[i])
+        for lo, hi, kind in ((low, low + 2 * SAMPLES, np.float32), (0, size, np.float64)):  # two ranges, most of the weight, rule out most; of them 24 bits are exact
+            with np.errstate(invalid="ignore"):  # texts too short for any sample are like none
+                keep = (whole - (b[rest, lo:hi] != a[i, lo:hi]).astype(kind) @ weight[lo:hi].astype(kind)) / whole >= least
+            rest, whole = rest[keep], whole[keep]
+        for j in rest[np.unique(up[own_b[rest]], return_index=True)[1]]:
+            found.append((i, int(j)))
+            up[up == up[own_b[j]]] = mine
+    return found
+
+
+def joined(held: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Of rows (key, node): links (u, v) that join what shares a bucket and is like, as far as ``roots`` doesn't yet.
+
+    All that meets is compared, but a chunk of a bucket gives no more links than it has classes, however many are like.
+    """
+
+    def run(batches):
+        key, of_a, of_b = None, ([], [], []), ([], [], [])
+
+        def links():
+            found = joining(of_a[1], of_a[2], of_b[1], of_b[2], least) if of_a[0] and of_b[0] else []
+            u, v = [of_a[0][i] for i, _ in found], [of_b[0][j] for _, j in found]
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for *now, first, node, root, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if len(out := links()):
+                        yield out
+                    key, of_a, of_b = now, ([], [], []), ([], [], [])
+                for kept, x in zip(of_a if first else of_b, (node, root, own), strict=True):
+                    kept.append(x)
+        if len(out := links()):
+            yield out
+
+    a, b = dealt_apart(held, roots, [], "edit", lambda left: masked(nodes.select("node", "fingerprint"), left, "node"))
+    side = lambda x, s: x.select("key", "i", "k", F.lit(s == "a").alias("first"), *(F.col(f"{s}_{c}").alias(c) for c in ("node", "root", "fingerprint")))
+    both = side(a, "a").unionByName(side(b, "b")).repartition("key", "i", "k").sortWithinPartitions("key", "i", "k")
+    return both.mapInArrow(run, "u long, v long").distinct()
+
+
 def node_of() -> Column:
     return F.xxhash64("fingerprint").alias("node")
 
@@ -305,7 +366,7 @@ def near_classes(marked: DataFrame, least: float = 0.8) -> DataFrame:
         if more.isEmpty():
             break
         roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components", FEW_LINKS)
-    more = linked(swept(cut(still_apart(several, roots, of, near, "edit"), "edit-pairs")))
+    more = swept(cut(joined(several.select("key", "node"), roots, nodes, least), "edit-links"))
     if not more.isEmpty():
         roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "edit-components", FEW_LINKS)
     rooted = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
